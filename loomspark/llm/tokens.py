@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
 
     coded = docs.mapInArrow(encode, "part long, doc_id long, wide boolean, ids binary")
 
-    def write(key, table: pa.Table) -> pa.Table:
+    def write(key, table):
         doc, wide, ids = (table.column(c).to_pylist() for c in ("doc_id", "wide", "ids"))
         order = sorted(range(len(doc)), key=lambda i: (doc[i], ids[i]))
         arrays = [np.frombuffer(ids[i], "<u4" if wide[i] else "<u2").astype(np.uint32) for i in order]
