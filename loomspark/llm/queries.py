@@ -24,6 +24,13 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left after repeated 400-byte strings go."""
+    from . import substrings
+
+    return substrings.removed(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, repeated to the target mix and globally shuffled."""
     from . import mixing
@@ -45,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_binary, op5_source_mixing, op6_ngram_jaccard, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_binary, op4_substring_dedup, op5_source_mixing, op6_ngram_jaccard, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
 
