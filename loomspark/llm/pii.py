@@ -212,7 +212,7 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     else:  # ids that are null or repeat: number the rows once, in a written table
         rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     cands = materialize(candidates(rows), "pii-candidates")
-    scored = score(cands, train(cands)).select("row", "kind", "base", "start", "stop", "probability")
+    scored = score(cands, train(cands)).filter(F.col("base") | (F.col("v_check") == 1)).select("row", "kind", "base", "start", "stop", "probability")
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     item = F.struct("start", order[F.col("kind")].alias("rank"), "kind", "stop", "base")
     # a document's candidates are as many as its text holds; grouping by row keeps them with it

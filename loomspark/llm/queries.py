@@ -45,6 +45,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(load(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    from . import quality
+
+    return quality.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     from . import pii
@@ -59,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_binary, op4_substring_dedup, op5_source_mixing, op6_ngram_jaccard, op9_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_binary, op4_substring_dedup, op5_source_mixing, op6_ngram_jaccard, op8_quality, op9_pii, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
 
