@@ -15,6 +15,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stay after fuzzy line dedup over all documents."""
+    from pyspark.sql import functions as F
+
+    from . import lines
+
+    kept = lines.keep_lines(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     import public_tokenizers
@@ -45,6 +55,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(load(spark, sf_dir, "documents"))
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures drawn from every vector (and edited copies of every tenth) with the group of copies each belongs to."""
+    from . import media
+
+    return media.copies(media.render_media(load(spark, sf_dir, "embeddings")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     from . import quality
@@ -66,7 +83,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_binary, op4_substring_dedup, op5_source_mixing, op6_ngram_jaccard, op8_quality, op9_pii, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_line_dedup,
+        op3_token_binary,
+        op4_substring_dedup,
+        op5_source_mixing,
+        op6_ngram_jaccard,
+        op7_media_copies,
+        op8_quality,
+        op9_pii,
+        op10_warc,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
