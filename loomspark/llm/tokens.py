@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -108,41 +109,81 @@ class DacFile:
 
 # ---------------------------------------------------------------- encoding texts
 
-_encoders: dict[str, "Encoder"] = {}
-_SPLIT = re.compile("[ \n\t\r]+")
+_encoders: dict[str, Encoder] = {}
+# Pieces of a text that encode independently: white space only separates, and a run of plain small letters that only
+# signs follow up to the next blank is a pre-token, as those signs are. Anything else stays whole up to the next blank.
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+(?=[,.;:!?%$&*#|]*(?:[ \n\t\r]|$))|[^ \n\t\r]+")
+_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins across blanks, with a cache of blank-separated pieces.
+    """Ids of texts by a tokenizer whose pre-tokenizer never joins across blanks, with a cache of pieces.
 
-    The pieces of a text encode independently (white space only separates), so their ids in a row are the text's ids.
-    ASCII texts are lower-cased first if the tokenizer lower-cases, which makes the cache smaller; a text that holds
-    ``<|`` is left as it is, as special tokens are matched before lower-casing.
+    Texts are lower-cased first if the tokenizer lower-cases and the result is the same (normalised, no sigma, no
+    ``<|`` that could begin a special token, which is matched before lower-casing). Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        spec = json.loads(open(path, encoding="utf-8").read())  # noqa: SIM115
-        self.lower = "Lowercase" in json.dumps(spec.get("normalizer") or {})
-        self.pieces = '"\\\\s+"' in json.dumps(spec.get("normalizer") or {}) and "Removed" in json.dumps(spec.get("pre_tokenizer") or {})
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, pre = json.dumps(spec.get("normalizer") or {}), json.dumps(spec.get("pre_tokenizer") or {})
+        self.lower = "Lowercase" in normal
+        self.pieces = '"\\\\s+"' in normal and "Removed" in pre and "\\\\p{L}" in pre
+        suffix = spec.get("model", {}).get("end_of_word_suffix") or ""
+        self.ends = None
+        if suffix:
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> list[str]:
+        if self.lower and "<|" not in text and "\u03a3" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            text = text.lower()
+        return _PIECES.findall(text)
+
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if _WORD.fullmatch(w)] if self.ends is not None else []
+        plain = set(words)
+        for i in range(0, len(words), 12_800):
+            groups = [words[k : k + 128] for k in range(i, min(i + 12_800, len(words)), 128)]
+            for g, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) != len(g):
+                    plain.difference_update(g)
+                    continue
+                raw, at = ids.tobytes(), 0
+                for w, z in zip(g, (stop * 4).tolist(), strict=True):
+                    self.young[w] = raw[at:z]
+                    at = z
+        rest = [w for w in new if w not in plain]
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """u32 ids of each text."""
         if not self.pieces:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        cut = [_SPLIT.split(t.lower() if self.lower and t.isascii() and "<|" not in t else t) for t in texts]
-        new = list({w for ws in cut for w in ws} - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list({w for ws in cut for w in ws})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        cut = [self._cut(t) for t in texts]
+        need = set().union(*cut) - self.young.keys()
+        if len(self.young) + len(need) > CACHE_WORDS // 2:
+            self.old, self.young = self.young, {}
+            need = set().union(*cut)
+        new = []
+        for w in need:
+            if (v := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.young[w] = v
+        self._learn(new)
+        get = self.young.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in cut]
 
 
