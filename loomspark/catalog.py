@@ -1,4 +1,6 @@
 """Every query of the engine with its SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import *  # noqa: F403  (registers the queries)
+from .registry import COVERS, ORACLE_SQL, QUERIES
+
+__all__ = ["COVERS", "ORACLE_SQL", "QUERIES"]

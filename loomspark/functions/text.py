@@ -142,7 +142,7 @@ def strip_fence(c: Column | str) -> Column:
 def judge_score(c: Column | str, default: int = 3) -> Column:
     """The number after 'score=' clamped to 1..5."""
     n = F.regexp_extract(F.lower(col(c)), r"score\s*=\s*(\d+)", 1).try_cast("int")
-    return F.coalesce(F.least(F.greatest(n, F.lit(1)), F.lit(5)), F.lit(default))
+    return F.when(n.isNull(), default).otherwise(F.least(F.greatest(n, F.lit(1)), F.lit(5)))
 
 
 def citations(c: Column | str) -> Column:
