@@ -82,6 +82,17 @@ class _Markdown(HTMLParser):
         else:
             self.out.append(s)
 
+    def end_cell(self):
+        if self.cell is not None and self.row is not None:
+            self.row.append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
+    def end_row(self):
+        self.end_cell()
+        if self.row and self.table is not None:
+            self.table.append(self.row)
+        self.row = None
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag in ("script", "style", "nav", "footer", "noscript", "svg", "head"):
@@ -107,8 +118,10 @@ class _Markdown(HTMLParser):
         elif tag == "table":
             self.table = []
         elif tag == "tr":
+            self.end_row()
             self.row = []
         elif tag in ("td", "th"):
+            self.end_cell()
             self.cell = []
         elif tag == "img" and a.get("src"):
             self.images.append({"src": a["src"], "alt": a.get("alt", "")})
@@ -143,15 +156,12 @@ class _Markdown(HTMLParser):
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
             self.put("\n")
-        elif tag in ("td", "th") and self.cell is not None:
-            if self.row is not None:
-                self.row.append(" ".join("".join(self.cell).split()))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            if self.table is not None:
-                self.table.append(self.row)
-            self.row = None
+        elif tag in ("td", "th"):
+            self.end_cell()
+        elif tag == "tr":
+            self.end_row()
         elif tag == "table" and self.table is not None:
+            self.end_row()
             if self.table:
                 lines = ["| " + " | ".join(r) + " |" for r in self.table]
                 lines.insert(1, "|" + " --- |" * len(self.table[0]))
