@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,20 +30,21 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/loom-{tag}-{uuid.uuid4().hex[:12]}"
 
 
+#: With it Spark drops an execution's shuffle files when the execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder, reread it, and let Spark drop shuffle files no plan needs any more."""
+    """Cut lineage: write ``df`` to the shared folder and reread it; the shuffle files of the write go with it."""
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    free_shuffles(spark)
-    return out
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's references to them are collected; ask for that now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -65,7 +65,7 @@ def unique_id_rows(docs: DataFrame, *cols: str) -> DataFrame:
 # ---------------------------------------------------------------- bytes of an Arrow batch
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, max_bytes: int = 4_000_000) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def text_slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, max_bytes: int = 1_500_000) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Yield (ids, bytes, offsets) for runs of rows of about ``max_bytes`` of UTF-8 text (one longer text comes alone). Null texts are empty."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,7 +10,7 @@ empty. A block's content becomes one key, and
 2. each document is held against the document it shares most keys with: their overlap is accumulated over the
    whole rows, and links become components (near copies never meet pair by pair);
 3. lists that still hold several components are multiplied block by block: sizes and the parity of their n-grams in
-   1,024 columns bound the overlap from above, pairs below the size-derived bound go, the rest is counted exactly.
+   some thousand columns bound the overlap from above, pairs below the size-derived bound go, the rest is counted exactly.
 
 No link is lost: a pair is left out only if a bound rules it out or both are in one component already. Documents
 with equal sets meet in one key of their own and need no count. Every step is keyed by n-gram blocks, document or
@@ -32,7 +32,7 @@ from .common import buckets_for, components, materialize, mix64, shingle_sets, t
 
 SHINGLE = 5
 BITS = 1024
-FLUSH = 1_500_000  # keys in a task's memory before they are dealt out
+FLUSH = 800_000  # keys in a task's memory before they are dealt out
 SEEN = 500_000  # equal sets a task remembers
 BUCKET_MB = 2.0
 
@@ -84,8 +84,26 @@ def set_key(u: np.ndarray) -> int:
 
 
 def parity_bits(u: np.ndarray) -> bytes:
-    """Parity of the set's n-grams in BITS columns: the bits in which two differ are at most the n-grams in which the sets do."""
-    return np.packbits(np.bincount((u >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """Parity of the set's n-grams in at least twice as many columns: two sets' bits differ in at most as many places as the sets do."""
+    columns = max(BITS, 1 << int(2 * len(u) - 1).bit_length()) if len(u) else BITS
+    return np.packbits(np.bincount((u & np.uint64(columns - 1)).astype(np.int64), minlength=columns) & 1).tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Parities in fewer columns: the last axis halved until it has ``size`` words."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """Sizes and parities do not rule out a link."""
+    if 5 * min(na, nb) < 4 * max(na, nb):
+        return False
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * 9 <= na + nb
 
 
 DEALT = "bucket int, keys binary, docs binary, exact binary, exact_docs binary, meta_docs binary, meta_n binary"
@@ -200,31 +218,51 @@ def _count(batches):
         yield out.filter(out.column(2))
 
 
-def count_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose exact overlap is a link."""
-    right = sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb"), F.col("n").alias("nb"))
-    left = sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga"), F.col("n").alias("na"))
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
+def _prune(batches):
+    for b in batches:
+        ok = [may_link(*r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def count_overlaps(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> DataFrame:
+    """Pairs (a, b) whose exact overlap is a link. Sizes and parities rule pairs out before whole rows move."""
+    if not pruned:
+        small = sets.select("doc", "n", "bits")
+        rows = pairs.select("a", "b").join(small.select(F.col("doc").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb")), "b")
+        rows = rows.join(small.select(F.col("doc").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na")), "a")
+        pairs = materialize(rows.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(_prune, "a long, b long"), "jaccard-near")
+    right = sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
+    left = sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga"))
+    rows = pairs.select("a", "b").join(right, "b").join(left, "a")
     return rows.select("a", "b", "ga", "gb").mapInArrow(_count, "a long, b long, link boolean").select("a", "b").distinct()
 
 
 def _bounded(key, table):
     """Of one list, the pairs from different components that sizes and parities do not rule out; in blocks of 512 x 512."""
     doc, comp, n = (np.asarray(table.column(c)) for c in ("doc", "comp", "n"))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(doc), -1)
+    bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+    words = np.array([len(x) for x in bits])
     a_out, b_out = [], []
     for i in range(0, len(doc), 512):
         for j in range(i, len(doc), 512):
             x, y = slice(i, i + 512), slice(j, j + 512)
-            ok = comp[x, None] != comp[None, y]
-            ok &= 5 * np.minimum(n[x, None], n[None, y]) >= 4 * np.maximum(n[x, None], n[None, y])
+            ok = comp[x, None] < comp[None, y] if i == j else comp[x, None] != comp[None, y]
+            ok = ok & (5 * np.minimum(n[x, None], n[None, y]) >= 4 * np.maximum(n[x, None], n[None, y]))
             r, c = np.nonzero(ok)
-            if len(r):
-                near = np.bitwise_count(bits[x][r] ^ bits[y][c]).sum(1, dtype=np.int64) * 9 <= n[x][r] + n[y][c]
-                r, c = r[near] + i, c[near] + j
-                a_out.append(np.minimum(doc[r], doc[c]))
-                b_out.append(np.maximum(doc[r], doc[c]))
-    pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0) if a_out else np.zeros((0, 2), np.int64)
+            r, c = r + i, c + j
+            size = np.minimum(words[r], words[c])
+            for w in np.unique(size).tolist():  # the same number of columns on both sides, so many pairs at a time as fit
+                rw, cw = r[size == w], c[size == w]
+                used = np.unique(np.concatenate([rw, cw]))
+                rows = np.stack([folded(bits[k], w) for k in used.tolist()])
+                ru, cu = np.searchsorted(used, rw), np.searchsorted(used, cw)
+                step = max(1, 2_000_000 // w)
+                for k in range(0, len(rw), step):
+                    near = np.bitwise_count(rows[ru[k : k + step]] ^ rows[cu[k : k + step]]).sum(1, dtype=np.int64) * 9 <= n[rw[k : k + step]] + n[cw[k : k + step]]
+                    a_out.append(doc[rw[k : k + step]][near])
+                    b_out.append(doc[cw[k : k + step]][near])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -255,7 +293,7 @@ def links(docs: DataFrame) -> DataFrame:
     several = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("list")
     small = sets.select("doc", "n", "bits")
     rest = tagged.join(several, "list", "left_semi").join(small, "doc").groupBy("list").applyInArrow(_bounded, "a long, b long").distinct()
-    second = materialize(count_overlaps(materialize(rest, "jaccard-rest"), sets), "jaccard-second")
+    second = materialize(count_overlaps(materialize(rest, "jaccard-rest"), sets, pruned=True), "jaccard-second")
     comp = materialize(components(first.union(exact).union(second), "jaccard-b"), "jaccard-comp")
 
     sizes = lists.filter("kind = 2").select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"))
