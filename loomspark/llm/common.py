@@ -47,19 +47,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan (file sizes for a scan); costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+MAX_BUCKETS = 100_000
 
 
-def buckets_for(df: DataFrame, each_mb: float) -> int:
-    """Number of hash buckets so that each holds about ``each_mb`` of the input; grows with the input."""
-    return max(32, int(input_bytes(df) / (each_mb * 1e6)) + 1)
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """About how many bytes a table takes: Spark's estimate for files, which costs no job, else the measured text."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:
+        return size
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]) // 2
 
 
-def unique_id_rows(docs: DataFrame, *cols: str) -> DataFrame:
-    """Select ``cols`` only, so extra columns with clashing names never meet in a join."""
-    return docs.select(*cols)
+def buckets_for(df: DataFrame, each_mb: float) -> int:
+    """Number of hash buckets so that each holds about ``each_mb`` of the input; grows with the input."""
+    return min(MAX_BUCKETS, max(32, int(input_bytes(df) / (each_mb * 1e6)) + 1))
 
 
 # ---------------------------------------------------------------- bytes of an Arrow batch

@@ -66,6 +66,8 @@ class FMIndex:
     """Backward search and location over symbols 0..top (0 never matches)."""
 
     def __init__(self, s: np.ndarray, top: int):
+        if not len(s) or s[-1]:
+            s = np.append(s, np.int32(0))  # an end that no symbol is before
         self.n, self.s = len(s), s
         sa = suffix_array(s)
         self.bwt = s[sa - 1]

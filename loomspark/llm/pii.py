@@ -148,7 +148,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 def expectation_maximisation(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float], list[float], dict[tuple[int, ...], float]]:
     """(prior, P(vote | personal), P(vote | not), P(personal | votes)) of binary labelers from the counts of vote patterns."""
     total = sum(n for _, n in counts)
-    k = len(counts[0][0]) if counts else 0
+    k = len(counts[0][0]) if counts else len(VOTES)
     post = {v: 0.02 + 0.96 * sum(v) / max(1, k) for v, _ in counts}  # majority vote to begin with
     prior, yes, no = 0.5, [0.5] * k, [0.5] * k
     for _ in range(rounds if total else 0):
