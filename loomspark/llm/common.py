@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -63,6 +64,15 @@ def buckets_for(df: DataFrame, each_mb: float) -> int:
     return min(MAX_BUCKETS, max(32, int(input_bytes(df) / (each_mb * 1e6)) + 1))
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers live on and serve later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- bytes of an Arrow batch
 
 
@@ -84,6 +94,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, m
             hi = min(len(ids), max(hi, lo + 1))
             yield ids[lo:hi], data[offs[lo] : offs[hi]], (offs[lo : hi + 1] - offs[lo]).astype(np.int64)
             lo = hi
+        del col, data, raw, batch
+    tidy()
 
 
 # ---------------------------------------------------------------- hashing

@@ -341,7 +341,7 @@ def shards(batches, id_col: str, text_col: str):
         for ids, data, offs in text_slices(iter([b]), id_col, text_col):
             shard.add(ids, data, offs)
             shard.lengths += np.diff(offs).tolist()
-            if shard.n >= SHARD_SYMBOLS or sum(len(d) for d in shard.data) >= 16_000_000:
+            if shard.n >= SHARD_SYMBOLS or sum(len(d) for d in shard.data) >= 8_000_000:
                 yield b, shard
                 shard = Shard()
                 shard.lengths = []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, components, materialize, mix64, shingle_sets, text_slices
+from .common import buckets_for, components, materialize, mix64, shingle_sets, text_slices, tidy
 
 SHINGLE = 5
 BITS = 1024
@@ -216,12 +216,14 @@ def _count(batches):
             link.append(100 * both >= 80 * (len(x) + len(y) - both))
         out = pa.RecordBatch.from_arrays([a, c, pa.array(link, pa.bool_())], ["a", "b", "link"])
         yield out.filter(out.column(2))
+    tidy()
 
 
 def _prune(batches):
     for b in batches:
         ok = [may_link(*r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    tidy()
 
 
 def count_overlaps(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> DataFrame:

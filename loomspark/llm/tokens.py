@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, materialize, shared_dir
+from .common import input_bytes, materialize, shared_dir, tidy
 from .files import read_bytes, write_bytes
 
 BLOCK = 512  # bits of a bitmap per entry of its rank directory
@@ -224,6 +224,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
                     ],
                     ["part", "doc_id", "wide", "ids"],
                 )
+        tidy()
 
     coded = docs.mapInArrow(encode, "part long, doc_id long, wide boolean, ids binary")
 
@@ -234,6 +235,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
         offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
         path = f"{folder}/part-{key[0].as_py():09d}-{uuid.uuid4().hex}.dac"
         write_bytes(path, dac_bytes(np.array([doc[i] for i in order], np.int64), offsets, np.concatenate(arrays)))
+        del table, ids, arrays
+        tidy()
         return pa.table({"part": [key[0].as_py()], "path": [path], "n_docs": [len(doc)], "n_tokens": [int(offsets[-1])]})
 
     return coded.groupBy("part").applyInArrow(write, "part long, path string, n_docs long, n_tokens long")
@@ -259,6 +262,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(f.offsets[:-1], f.offsets[1:], strict=True)]
                 doc = pa.array(f.doc_ids, mask=f.doc_ids == NULL_ID)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(f.offsets[:-1] + first), pa.array(np.diff(f.offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del f, ids
+                tidy()
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
