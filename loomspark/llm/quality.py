@@ -32,6 +32,7 @@ ROWS_BITS = 13
 ROWS = 1 << ROWS_BITS
 DIMS = 64
 NONZERO = 4
+FEW = 3  # a mean over few tokens is drawn to zero, as if so many tokens that say nothing stood beside them
 BLOCKS = 32
 #: At most so many labelled rows are used for fitting (a sample by hash of the id).
 MAX_LABELLED = 20_000
@@ -139,9 +140,9 @@ def pool(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         for a in range(0, len(some), 256):  # a few texts at a time, so the gathered vectors stay small
             part = some[a : a + 256]
             lo, hi = first[part[0]], first[part[-1] + 1]
-            out[part, :DIMS] = np.add.reduceat(vectors[t[lo:hi]], first[part] - lo, axis=0) / n[part, None]
+            out[part, :DIMS] = np.add.reduceat(vectors[t[lo:hi]], first[part] - lo, axis=0) / (n[part, None] + FEW)
         for k in range(4):
-            out[some, DIMS + k] = np.add.reduceat((kind == k).astype(np.float32), first[some]) / n[some]
+            out[some, DIMS + k] = np.add.reduceat((kind == k).astype(np.float32), first[some]) / (n[some] + FEW)
     size = np.diff(offs)
     out[:, DIMS + 4] = np.log1p(n) / 10
     out[:, DIMS + 5] = size / np.maximum(n, 1) / 10
