@@ -138,6 +138,9 @@ class Encoder:
             vocab = self.tok.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # ids are kept as 16-bit numbers if all fit
+        self.wide = self.tok.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.kind = "<u4" if self.wide else "<u2"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -152,25 +155,29 @@ class Encoder:
         for i in range(0, len(words), 12_800):
             groups = [words[k : k + 128] for k in range(i, min(i + 12_800, len(words)), 128)]
             for g, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
+                ids = np.array(e.ids, self.kind)
                 stop = np.flatnonzero(self.ends[ids]) + 1
                 if len(stop) != len(g):
                     plain.difference_update(g)
                     continue
                 raw, at = ids.tobytes(), 0
-                for w, z in zip(g, (stop * 4).tolist(), strict=True):
+                for w, z in zip(g, (stop * ids.itemsize).tolist(), strict=True):
                     self.young[w] = raw[at:z]
                     at = z
         rest = [w for w in new if w not in plain]
         for i in range(0, len(rest), 10_000):
             some = rest[i : i + 10_000]
             for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
+                self.young[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """u32 ids of each text."""
+        """Ids of each text."""
+        return [np.frombuffer(x, self.kind) for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Ids of each text as packed numbers, with ``end`` behind each."""
         if not self.pieces:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, self.kind).tobytes() + end for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         cut = [self._cut(t) for t in texts]
         need = set().union(*cut) - self.young.keys()
         if len(self.young) + len(need) > CACHE_WORDS // 2:
@@ -184,7 +191,7 @@ class Encoder:
                 self.young[w] = v
         self._learn(new)
         get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in cut]
+        return [b"".join(map(get, ws)) + end for ws in cut]
 
 
 def encoder(path: str) -> Encoder:
@@ -209,18 +216,20 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
 
     def encode(batches):
         enc = encoder(tokenizer)
+        wide = enc.wide or end_id > 65535
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 some = b.slice(lo, 500)
                 ids = np.asarray(some.column(0))
-                coded = [np.append(x, np.uint32(end_id)) for x in enc.encode(some.column(1).to_pylist())]
-                wide = [len(x) > 0 and int(x.max()) > 65535 for x in coded]
+                coded = enc.encode_bytes(some.column(1).to_pylist(), b"" if wide != enc.wide else np.array([end_id], enc.kind).tobytes())
+                if wide != enc.wide:  # only the end id is too large
+                    coded = [np.append(np.frombuffer(x, enc.kind).astype("<u4"), np.uint32(end_id)).tobytes() for x in coded]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.searchsorted(cuts, ids, side="right").astype(np.int64)),
                         pa.array(ids),
-                        pa.array(wide),
-                        pa.array([x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(coded, wide, strict=True)], pa.binary()),
+                        pa.array([wide] * len(coded), pa.bool_()),
+                        pa.array(coded, pa.binary()),
                     ],
                     ["part", "doc_id", "wide", "ids"],
                 )
