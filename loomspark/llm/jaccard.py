@@ -79,8 +79,8 @@ def block_keys(u: np.ndarray) -> np.ndarray:
 
 def set_key(u: np.ndarray) -> int:
     """A key of the whole set."""
-    x = mix64(u ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) ^ mix64(u + np.uint64(77)).sum(dtype=np.uint64) * np.uint64(3)
-    return int(mix64(np.array([x], np.uint64))[0]) | 1
+    one, two = (int(mix64(u ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (0x5BD1E995, 0x2545F491))
+    return int(mix64(np.array([(one ^ two * 3) & (1 << 64) - 1], np.uint64))[0]) | 1
 
 
 def parity_bits(u: np.ndarray) -> bytes:
