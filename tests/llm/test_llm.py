@@ -113,6 +113,42 @@ def test_lines(spark, docs, empty):
     assert lines.keep_lines(empty).count() == 0 and lines.keep_lines(docs).count() == docs.count()
 
 
+def brute_kept(texts):
+    """Lines that brute force keeps of [text, ...] with one line each: components of Jaccard 0.8 over whole lines' 5-grams."""
+    sets = [{t.lower()[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x] = up[up[x]]
+        return x
+
+    for j in range(len(sets)):
+        for i in range(j):
+            n = len(sets[i]) + len(sets[j])
+            if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and root(i) != root(j) and 9 * len(sets[i] & sets[j]) >= 4 * n:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i for i in up if root(i) == i}
+
+
+def kept_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id for r in lines.keep_lines(df).collect() if r.n_kept}
+
+
+def test_lines_whole(spark):
+    r = random.Random(4)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x5000)) for _ in range(n))
+    head = han(14)
+    texts = ["https://www.example.com/a/first-page", "https://www.example.com/zzz/other", head + han(20), head + han(20), "a\tb\tc\td\te\tf\tg\t1\t2\t3", "a\tb\tc\td\te\tf\tg\tx\ty\tz", "Abc", "aBC", "abd"]
+    word = "".join(r.choice("abcdefghij") for _ in range(200))
+    texts += ["start " + word, "start " + word[:20] + word[:19:-1], "START " + word.upper() + "x", "one long tail of a line " + word[:60], "one long tail of a line " + word[100:160]]
+    words = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(4, 60))) for _ in range(150)]
+    texts += words + [w[:-3] + "xyz" for w in words] + [w.replace(w.split()[2], "other", 1) for w in words]
+    assert kept_ids(spark, texts) == brute_kept(texts)
+
+
 # ---------------------------------------------------------------- 3
 
 
