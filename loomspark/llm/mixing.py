@@ -12,6 +12,8 @@ Empty tables give empty results; extra columns are carried through.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,25 @@ def hash_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def poisson_first(rate: Column) -> Column:
+    """The count that poisson_cdf starts from: 0, or for high rates one below which lies no 52-bit uniform number."""
+    return F.when(rate <= 500, F.lit(0)).otherwise(F.floor(rate - 12 * F.sqrt(rate) - 30)).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """Array of the cumulative probabilities of 0, 1, 2 ...; long enough for any 52-bit uniform number."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+    """Array of the cumulative probabilities of poisson_first, and one more ...; long enough for any 52-bit uniform number."""
+    first, last = poisson_first(rate), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    # exp(-rate) is 0 for rates above 745; there the first term comes from logarithms, k! by Stirling's series
+    k = F.greatest(first, F.lit(1)).cast("double")
+    high = F.exp(k * F.log1p((rate - k) / k) - (rate - k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k))
+    p = F.when(first == 0, F.exp(-rate)).otherwise(high)
+    start = F.struct(p.alias("p"), F.array(p).alias("cdf"))
     step = lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * rate / k)).alias("cdf"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: acc["cdf"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """(source, n, rate, cdf) for every source, from counts over all rows."""
+    """(source, n, rate, first, cdf) for every source, from counts over all rows."""
     by = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         by = by.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
@@ -46,17 +57,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         by = by.withColumn("w", F.coalesce(F.create_map(*pairs)[F.coalesce("source", F.lit(""))], F.lit(0.0)) if pairs else F.lit(0.0))
     total = by.agg(F.sum("w").alias("tw"), F.sum("n").alias("tn"))  # one row
     out = by.crossJoin(F.broadcast(total)).filter("w > 0").select("source", "n", (F.col("w") / F.col("tw") * F.col("tn") / F.col("n")).alias("rate"))
-    return out.withColumn("cdf", poisson_cdf(F.col("rate")))
+    return out.withColumn("first", poisson_first(F.col("rate"))).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """Documents repeated to the target mix, globally shuffled; adds ``copy`` (from 1) and ``shuffle_key``."""
-    r = rates(docs, weights, temperature).select(F.col("source").alias("_s"), F.col("cdf").alias("_cdf"))
+    r = rates(docs, weights, temperature).select(F.col("source").alias("_s"), F.col("first").alias("_first"), F.col("cdf").alias("_cdf"))
     few = r.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
     joined = docs.join(F.broadcast(r) if few else r, F.col("source").eqNullSafe(F.col("_s")), "inner")
     u = hash_uniform(str(seed), F.col("doc_id"))
-    count = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
+    count = F.col("_first") + F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
     out = joined.withColumn("_u", u).withColumn("_n", count).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    out = out.drop("_s", "_cdf", "_u", "_n").withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
+    out = out.drop("_s", "_first", "_cdf", "_u", "_n").withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     # hash dealing then a sort inside each partition: file after file this is one global random order, without a sampling pass
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import unicodedata
@@ -263,6 +264,21 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs, {}).count() == 0
 
 
+@pytest.mark.parametrize("n", [120, 75, 30])
+def test_mixing_high_rates(spark, n):
+    big = spark.range(0, 60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "small").otherwise("big").alias("source"))
+    got = {r.doc_id: r["count"] for r in mixing.mix(big, {"small": 1}).groupBy("doc_id").count().collect()}
+    rate = 60_000 / n  # 500, 800 and 2,000
+
+    def count(i):
+        u, total, k = int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52), 0.0, 0
+        while (total := total + math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))) <= u:
+            k += 1
+        return k
+
+    assert got == {i: count(i) for i in range(n)}
+
+
 # ---------------------------------------------------------------- 6
 
 
