@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Where intermediate tables go when the session names no shared folder (local runs and tests only).
+#: Where intermediate tables go when a local session (tests) names no shared folder. On a cluster there is no such place.
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
@@ -27,7 +27,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder URI under the folder that the cluster shares (spark.checkpoint.dir)."""
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/loom-{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -45,7 +50,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once everything that was read from them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.loom_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 MAX_BUCKETS = 100_000
@@ -208,30 +222,59 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5, table: np.ndarr
             yield np.zeros(0, np.uint64)
 
 
+# ---------------------------------------------------------------- joins with hot keys
+
+#: A key with more rows than this and than this share of all rows is hot, so there are at most 1 / HOT_SHARE hot keys.
+HOT_ROWS = 256
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(many: DataFrame, one: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row per key; its column ``rows`` counts the key's rows in ``many``, ``total`` in sum).
+
+    Hot keys are dealt: their rows in ``many`` get a salt, their row in ``one`` is repeated for every salt. The hot keys
+    are broadcast; no more than 1 / HOT_SHARE keys can be hot, so the size of that table is bounded by its definition.
+    """
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    salts = F.ceil(F.col(rows) / limit).cast("int")
+    hot = F.broadcast(one.filter(F.col(rows) > limit).select(*on, salts.alias("_salts")))
+    dealt = many.join(hot, on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("_salts"))).cast("int")).drop("_salts")
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > limit, salts - 1).otherwise(0))))
+    return dealt.join(spread, [*on, "_salt"]).drop("_salt")
+
+
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, tag: str = "cc", rounds: int = 40) -> DataFrame:
+def _mark(edges: DataFrame) -> tuple:
+    """What tells two sets of undirected edges apart: their number and two folds of their hashes, in one pass."""
+    h = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+
+
+def components(edges: DataFrame, tag: str = "cc", rounds: int = 100) -> DataFrame:
     """Distributed union-find over edges(a, b): rows (node, component) with the smallest node of each component, for every node of an edge.
 
     Alternates hooking (each node's parent becomes the smallest parent among its neighbours) with pointer
     jumping; every round is a few joins keyed by node, written to the shared folder, so nothing is gathered on the driver.
+    The rounds needed grow with the logarithm of the longest chain, so their bound is only a guard against a fault.
     """
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(edges, f"{tag}-edges")
+    mark = _mark(edges)
     for i in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # large star: larger neighbours hook on the smallest; small star: smaller ones too
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        # large star: larger neighbours hook on the smallest; small star: smaller ones too. A hub's edges are dealt
+        large = join_hot(both, least, ["a"], "degree", 2 * mark[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large, f"{tag}-l{i}")
         mins = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(mins, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(mins.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         small = materialize(small, f"{tag}-s{i}")
-        same = small.count() == edges.count() and not small.exceptAll(edges.select("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).take(1)
-        edges = small
-        if same:
+        discard(edges, large)
+        before, mark, edges = mark, _mark(small), small
+        if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")
