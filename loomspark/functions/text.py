@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +69,25 @@ QUESTION = "What does this cost to the nearest dollar?"
 PREFIX = "Price is $"
 
 
+def cut_to_tokens(text: Column | str, most: int, encode: Callable[[str], list[int]] | None = None, decode: Callable[[list[int]], str] | None = None) -> Column:
+    """A text's first ``most`` tokens, by any tokenizer's two functions; without them tokens are what blanks part."""
+    if encode is None:
+        return F.array_join(F.slice(F.split(col(text), " "), 1, most), " ")
+
+    @F.pandas_udf("string")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else decode(encode(x)[:most]))
+
+    return cut(col(text))
+
+
+def made_prompt(text: Column | str, price: Column | str, most: int, do_round: bool, encode: Callable[[str], list[int]] | None = None, decode: Callable[[list[int]], str] | None = None) -> Column:
+    """struct(prompt, completion): the text cut to ``most`` tokens; the price rounded half to even, or exact."""
+    answer = price_text(price) if do_round else col(price).cast("string")
+    prompt = F.concat(F.lit(QUESTION + "\n\n"), cut_to_tokens(text, most, encode, decode), F.lit("\n\n" + PREFIX))
+    return F.struct(prompt.alias("prompt"), answer.alias("completion"))
+
+
 def price_prompt(text: Column | str, price: Column | str) -> Column:
     """Training prompt: question, text and price."""
     return F.concat(F.lit(QUESTION + "\n\n"), col(text), F.lit("\n\n" + PREFIX), price_text(price))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..scratch import written
 
 MIN_PRICE, MAX_PRICE, MIN_CHARS = 0.5, 999.49, 600
 
@@ -67,17 +68,39 @@ def shuffled(df: DataFrame, key: str, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
 
 
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in a global order: adds ``_p``, the partition in order, and ``_i``, the place in it from 0.
+
+    Written once, since a range partitioning that is computed again may draw other bounds.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return written(rows.withColumns({"_p": F.shiftright("_m", 33).cast("int"), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m"), "ranged")
+
+
+def before_each(parts: DataFrame, sums: list[str]) -> DataFrame:
+    """Of one row per partition ``_p``, the sums over the partitions before it; no more rows than there are partitions."""
+    w = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    return F.broadcast(parts.select("_p", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums]))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "seq") -> DataFrame:
     """Rows numbered from 0 in a global order, without one task seeing them all.
 
     Rows are range-partitioned and sorted; each partition's offset is the sum of the counts before it, and only those
     counts meet in one place.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    local = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy("_m")) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_m", "_i", "_b")
+    rows = ranged(df, order)
+    before = before_each(rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_b")), ["_b"])
+    return rows.join(before, "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+
+
+def running_sums(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds running sums in a global order, without one task seeing all rows: sums inside a partition and of the ones before it."""
+    names = list(values)
+    rows = ranged(df.withColumns(values), order)
+    before = before_each(rows.groupBy("_p").agg(*[F.sum(c).alias(f"_{c}") for c in names]), [f"_{c}" for c in names])
+    w = W.partitionBy("_p").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumns({c: F.sum(c).over(w) for c in names}).join(before, "_p").withColumns({c: F.col(c) + F.col(f"_{c}") for c in names}).drop("_p", "_i", *[f"_{c}" for c in names])
 
 
 def split_prefixes(df: DataFrame, sizes: dict[str, int], seq: str = "seq") -> DataFrame:

@@ -23,6 +23,16 @@ def sync_plan(index: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame
     return both.select(F.coalesce("_i", "_c").alias(key), op.alias("op"))
 
 
+def full_rebuild(index: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame:
+    """The plan after a change of the embedding model: everything old goes, everything new is embedded."""
+    return index.select(key).distinct().withColumn("op", F.lit("delete")).unionByName(chunks.select(key).distinct().withColumn("op", F.lit("add")))
+
+
+def planned(index: DataFrame, chunks: DataFrame, key: str, index_model: str, model: str) -> DataFrame:
+    """``sync_plan`` while the model stays, ``full_rebuild`` when it changed."""
+    return sync_plan(index, chunks, key) if index_model == model else full_rebuild(index, chunks, key)
+
+
 def merge(index: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame:
     """The next version: chunks that stay keep the index's computed columns, new ones come without them, stale ones go."""
     extra = [c for c in index.columns if c not in chunks.columns]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -52,3 +54,29 @@ def project(vectors: DataFrame, embedding: str, k: int = 2) -> DataFrame:
     """Principal components as an array; a linear stand-in for a neighbour embedding, which Spark lacks."""
     v = vectors.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>")))
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("projection", vector_to_array("_p")).drop("_v", "_p")
+
+
+class Tools:
+    """Functions by name, with the schema of their arguments: a call is a row with a name and JSON arguments."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, tuple[dict[str, str], Callable[[Column], Column]]] = {}
+
+    def register(self, name: str, arguments: dict[str, str], function: Callable[[Column], Column]) -> None:
+        """``function`` takes the struct of parsed arguments (name -> Spark type) and gives a column."""
+        if name in self._known:
+            raise ValueError(f"a tool named {name} is there already")
+        self._known[name] = (arguments, function)
+
+    def declared(self) -> list[dict]:
+        """The tools as JSON-schema declarations."""
+        kinds = {"string": "string", "int": "integer", "bigint": "integer", "double": "number", "boolean": "boolean"}
+        return [{"type": "function", "function": {"name": n, "parameters": {"type": "object", "properties": {a: {"type": kinds.get(k, "string")} for a, k in args.items()}, "required": list(args)}}} for n, (args, _) in self._known.items()]
+
+    def call(self, name: Column | str, arguments: Column | str) -> Column:
+        """The named tool's result as text; null for a name that is not registered."""
+        out = F.lit(None).cast("string")
+        for n, (args, f) in self._known.items():
+            parsed = F.from_json(col(arguments), ", ".join(f"{a} {k}" for a, k in args.items()))
+            out = F.when(col(name) == n, f(parsed).cast("string")).otherwise(out)
+        return out

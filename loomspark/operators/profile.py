@@ -57,3 +57,11 @@ def audit(a: DataFrame, b: DataFrame, numeric: list[str], categorical: list[str]
     for c in categorical:
         out = out.union(total_variation(a, b, c).select(F.lit("tvd"), F.lit(c), "tvd"))
     return out
+
+
+def markdown_report(metrics: DataFrame, title: str) -> DataFrame:
+    """One row ``report``: an audit (metric, column, value) as a markdown table, by column and metric. The audit has a few rows a column."""
+    line = F.format_string("| %s | %s | %.4f |", "column", "metric", "value")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("column", "metric", line.alias("x")))), lambda s: s["x"])
+    head = f"# {title}\n\n| column | metric | value |\n| --- | --- | --- |\n"
+    return metrics.agg(F.concat(F.lit(head), F.array_join(lines, "\n")).alias("report"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..scratch import scratch
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -24,27 +25,28 @@ def longest_anchor(links: DataFrame, url: str, text: str, pos: str) -> DataFrame
     return links.filter(F.length(text) > 0).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex[:12]}"
-
-
-def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, budget: int | None = None, carry: str | None = None) -> DataFrame:
+def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, budget: int | None = None, carry: str | None = None, expand: Callable[[int], Column] | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """(node, depth) reached from ``seeds(node)`` over ``edges(src, dst)`` within ``depth`` steps.
 
     A level is one join with the edges and one anti join with what was seen, written before the next begins, so the plan
     does not grow with the depth. ``budget`` keeps the nodes first in order of depth and name. ``carry`` names a column
-    of ``seeds`` that reached nodes inherit from their parent (the smallest of several).
+    of ``seeds`` that reached nodes inherit from their parent (the smallest of several). ``expand`` gives, for a depth, the
+    condition on nodes of that depth whose links are followed. ``redirects(node, target)``: a link to a node that redirects
+    reaches its target instead, so the target is what is seen and kept.
     """
     spark = edges.sparkSession
     extra = [carry] if carry else []
-    folder = _scratch(spark)
+    folder = scratch(spark, "crawl")
+    if redirects is not None:
+        to = redirects.select(F.col("node").alias("dst"), "target")
+        edges = edges.join(to, "dst", "left").select("src", F.coalesce("target", "dst").alias("dst"))
     level = seeds.select("node", F.lit(0).alias("depth"), *extra).dropDuplicates(["node"])
     level.write.parquet(f"{folder}/level=0")
     schema = level.schema
     for d in range(1, depth + 1):
         seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
         last = spark.read.schema(schema).parquet(f"{folder}/level={d - 1}")
+        last = last.filter(expand(d - 1)) if expand else last
         reached = last.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.lit(d).alias("depth"), *[F.min(c).alias(c) for c in extra])
         reached.join(seen.select("node"), "node", "left_anti").select(*schema.names).write.parquet(f"{folder}/level={d}")
         if spark.read.schema(schema).parquet(f"{folder}/level={d}").isEmpty():

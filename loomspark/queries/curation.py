@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import curation as C
 from ..registry import query
+from ..scratch import scratch
 from ..sources import sinks, tables
 
 PRICED = """
@@ -43,9 +44,9 @@ def unit_weight(spark, t):
 @query("PF4 ST1 ST2 PF3 SC1")
 def curate_items(spark, t):
     """Raw rows through the whole parse; documents give the descriptions."""
-    d = t.documents.select((F.col("doc_id") % 200 + 1).alias("k"), "text").groupBy("k").agg(F.min("text").alias("text"))
+    d = t.documents.select((F.col("doc_id") + 1).alias("k"), "text")
     details = F.to_json(F.create_map(F.lit("Item Weight"), F.col("item_weight"), F.lit("Best Sellers Rank"), F.lit("9")))
-    raw = raw_products(t).join(d, F.col("id") % 200 + 1 == F.col("k")).select("id", "title", "category", "price", F.split("text", "\n").alias("description"), F.array(F.col("category")).alias("features"), details.alias("details"))
+    raw = raw_products(t).join(d, F.col("id") == F.col("k")).select("id", "title", "category", "price", F.split("text", "\n").alias("description"), F.array(F.col("category")).alias("features"), details.alias("details"))
     return C.parse_items(raw).select("id", "price", F.length("full").alias("n_full"), F.round("weight", 6).alias("weight"))
 
 
@@ -132,18 +133,31 @@ def prompts(spark, t):
     return items(t).withColumn("prompt", T.price_prompt("title", "price")).select("id", "prompt", T.question_prompt("prompt").alias("question"))
 
 
-@query("ST5", f"""WITH {PRICED} SELECT id, array_to_string(string_split(title, ' ')[1:2], ' ') AS short FROM items""")
+@query("ST5", f"""WITH {PRICED}, p AS (SELECT id, 'What does this cost to the nearest dollar?' || chr(10) || chr(10) || array_to_string(string_split(title, ' ')[1:2], ' ') || chr(10) || chr(10) || 'Price is $' AS prompt, price FROM items)
+SELECT id, prompt, CASE WHEN id % 2 = 0 THEN round_even(price, 0)::BIGINT || '.00' ELSE price::VARCHAR END AS completion FROM p""")
 def truncated_prompts(spark, t):
-    """Texts cut to two tokens of a blank tokenizer."""
-    return items(t).select("id", F.array_join(F.slice(F.split("title", " "), 1, 2), " ").alias("short"))
+    """Prompts of texts cut to two tokens of a blank tokenizer; rounded prices for even ids, exact ones for odd."""
+    even, odd = (T.made_prompt("title", "price", 2, r) for r in (True, False))
+    x = items(t).withColumn("p", F.when(F.col("id") % 2 == 0, even).otherwise(odd))
+    return x.select("id", "p.prompt", "p.completion")
 
 
-@query("SK1 SK2 SC1")
+@query("SC1 SC2", f"""WITH {PRICED} SELECT id, category, title, 'train' AS split FROM items WHERE id % 10 < 8 AND category = (SELECT min(category) FROM items)
+UNION ALL SELECT id, category, title, 'test' FROM items WHERE id % 10 = 9 AND category = (SELECT min(category) FROM items)""")
+def typed_splits(spark, t):
+    """One configuration of a dataset written by configuration and split, read back as typed rows by split."""
+    path = scratch(spark, "dataset")
+    x = items(t).withColumn("split", F.when(F.col("id") % 10 < 8, "train").when(F.col("id") % 10 == 8, "validation").otherwise("test"))
+    x.withColumn("config", F.col("category")).write.partitionBy("config", "split").parquet(path)
+    first = x.agg(F.min("category")).first()[0]
+    train, _, test = tables.read_splits(spark, path, first)
+    return train.select("id", "category", "title", F.lit("train").alias("split")).union(test.select("id", "category", "title", F.lit("test")))
+
+
+@query("SK1 SK2")
 def split_round_trip(spark, t):
     """Prompts written by split and read back by split."""
-    from ..operators.web import _scratch
-
-    path = _scratch(spark)
+    path = scratch(spark)
     df = items(t).select(T.price_prompt("title", "price").alias("prompt"), T.price_text("price").alias("completion"), F.when(F.col("id") % 10 < 8, "train").when(F.col("id") % 10 == 8, "validation").otherwise("test").alias("split"))
     sinks.write_splits(sinks.prompts_only(df), path)
     return tables.read_split(spark, path, "validation")

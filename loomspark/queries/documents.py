@@ -60,14 +60,14 @@ def chunk_types(spark, t):
 @query("G6")
 def recursive_chunks(spark, t):
     """Recursive character splits of 1000 with 200 in common."""
-    return t.documents.select("doc_id", F.posexplode(K.python_pieces(K.recursive_split, "text")).alias("n", "piece")).select("doc_id", "n", F.length("piece").alias("size"))
+    return t.documents.select("doc_id", F.posexplode(K.python_pieces(K.recursive_split, "text")).alias("n", "piece")).select("doc_id", "n", F.length("piece").alias("size"), F.sha1("piece").alias("hash"))
 
 
 @query("G3 G4 W14")
 def packed_blocks(spark, t):
     """Blocks packed to 1800 characters."""
     x = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    return t.documents.select("doc_id", F.posexplode(K.python_pieces(K.packed, x)).alias("n", "chunk")).select("doc_id", "n", F.length("chunk").alias("size"))
+    return t.documents.select("doc_id", F.posexplode(K.python_pieces(K.packed, x)).alias("n", "chunk")).select("doc_id", "n", F.length("chunk").alias("size"), F.sha1("chunk").alias("hash"))
 
 
 @query("PF13", r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 40")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id
 from ..operators import index as I
-from ..operators.web import _scratch
+from ..scratch import scratch
 from ..registry import query
 
 VERSIONS = """
@@ -34,6 +34,28 @@ def sync_plan(spark, t):
     return I.sync_plan(old.withColumnRenamed("hash", "id"), new.withColumnRenamed("hash", "id"))
 
 
+@query("IX1", f"WITH {VERSIONS} SELECT hash AS id, 'delete' AS op FROM old GROUP BY hash UNION ALL SELECT hash, 'add' FROM new GROUP BY hash")
+def rebuild_plan(spark, t):
+    """A changed embedding model: every chunk goes and comes again."""
+    old, new = versions(t)
+    return I.planned(old.withColumnRenamed("hash", "id"), new.withColumnRenamed("hash", "id"), "id", "small", "large")
+
+
+@query("SK7", """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) SELECT item_id, count(*)::DOUBLE AS words, 100 >= 1 AS small FROM w GROUP BY item_id""")
+def embedded_in_batches(spark, t):
+    """Texts through an embedder that takes at most a hundred at a time."""
+    import re
+
+    from ..operators.retrieval import embed
+
+    def embedder(texts):
+        assert len(texts) <= 100
+        return [[float(len(re.findall("[a-z0-9]+", x.lower()))), float(len(texts))] for x in texts]
+
+    e = embed(t.benchmark.select("item_id", "text"), "item_id", "text", embedder)
+    return e.select("item_id", F.get("embedding", F.lit(0)).alias("words"), (F.get("embedding", F.lit(1)) <= 100).alias("small"))
+
+
 @query("IX1 SK7", f"WITH {VERSIONS} SELECT n.url, n.hash, o.n AS embedded FROM (SELECT DISTINCT url, hash FROM new) n LEFT JOIN (SELECT hash, length(hash) + max(url % 5) AS n FROM old GROUP BY hash) o USING (hash)")
 def merged_index(spark, t):
     """The next version: computed columns of unchanged chunks are kept."""
@@ -60,7 +82,7 @@ def newest_update(spark, t):
 @query("SK7 IX3 SK5", "SELECT doc_id, left(sha1('text' || chr(10) || text), 24) AS id FROM documents WHERE doc_id % 2 = 0")
 def versioned_index(spark, t):
     """Two versions written; readers follow the pointer to the second."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     d = t.documents.select("doc_id", chunk_id(F.lit("text"), "text").alias("id"))
     I.write_version(d, folder, 1)
     I.write_version(d.filter("doc_id % 2 = 0"), folder, 2)
@@ -126,5 +148,5 @@ def zipped(spark, t):
     from ..operators.curation import numbered
 
     items = numbered(t.part.select("p_partkey"), [F.col("p_partkey")], "pos")
-    guesses = spark.range(0, 1_000_000).filter(F.col("id") < t.part.count()).select(F.col("id").alias("pos"), (F.col("id") * 2).cast("double").alias("guess"))
+    guesses = spark.range(t.part.count()).select(F.col("id").alias("pos"), (F.col("id") * 2).cast("double").alias("guess"))
     return items.join(guesses, "pos").select("p_partkey", "guess")

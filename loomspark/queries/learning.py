@@ -48,9 +48,9 @@ def linear_pricer(spark, t):
 
 @query("ML4")
 def forest_pricer(spark, t):
-    """A random forest on the first 15,000 rows."""
+    """A random forest of 100 trees on the first 15,000 rows."""
     d = _priced(t)
-    return L.predict(L.regressor("forest", ["size", "length"], "price", numTrees=20).fit(d.orderBy("p_partkey").limit(15_000)), d, ["p_partkey"])
+    return L.predict(L.regressor("forest", ["size", "length"], "price").fit(d.orderBy("p_partkey").limit(15_000)), d, ["p_partkey"])
 
 
 @query("ML4")
@@ -80,11 +80,15 @@ def predictor_column(spark, t):
     return t.part.select("p_partkey", predictor.alias("guess"))
 
 
-@query("U6", "SELECT n_name, length(n_name) AS n FROM nation")
+@query("U6", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN length(n_name)::VARCHAR WHEN 1 THEN upper(left(n_name, 2)) END AS result FROM nation")
 def registered_tools(spark, t):
-    """A tool registered by name and called in SQL."""
-    tools = {"text_size": lambda c: F.length(c)}
-    return t.nation.select("n_name", tools["text_size"]("n_name").alias("n"))
+    """Tools registered by name with the schema of their arguments, and calls that name them; an unknown name gives null."""
+    tools = L.Tools()
+    tools.register("text_size", {"text": "string"}, lambda a: F.length(a["text"]))
+    tools.register("beginning", {"text": "string", "n": "int"}, lambda a: F.upper(F.substring(a["text"], F.lit(1), a["n"])))
+    name = F.element_at(F.array(F.lit("text_size"), F.lit("beginning"), F.lit("no_such")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    calls = t.nation.select("n_nationkey", name.alias("tool"), F.to_json(F.struct(F.col("n_name").alias("text"), F.lit(2).alias("n"))).alias("arguments"))
+    return calls.select("n_nationkey", tools.call("tool", "arguments").alias("result"))
 
 
 @query("ST4 ST6", "SELECT p_partkey, round_even(p_retailprice, 0) AS guess FROM part")

@@ -18,14 +18,14 @@ def guesses(t):
 
 
 FLAGS = """
-flags AS (SELECT p_partkey % 50 AS qid, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS pos, (p_partkey * 7919 % 5 = 0) AS rel, 12 AS total FROM part WHERE p_partkey <= 1000)
+flags AS (SELECT p_partkey % 50 AS qid, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS pos, (p_partkey * 7919 % 5 = 0) AS rel, 12 AS total FROM part)
 """
 
 
 def flags(t):
     from pyspark.sql.window import Window as W
 
-    x = t.part.filter("p_partkey <= 1000").select((F.col("p_partkey") % 50).alias("qid"), "p_partkey")
+    x = t.part.select((F.col("p_partkey") % 50).alias("qid"), "p_partkey")
     return x.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("p_partkey")).alias("pos"), (F.col("p_partkey") * 7919 % 5 == 0).alias("rel"), F.lit(12).alias("total"))
 
 
@@ -41,12 +41,12 @@ def error_bands(spark, t):
     return guesses(t).groupBy(M.error_band("guess", "truth").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("W1 W2 W3", f"""WITH {GUESSES}, e AS (SELECT id, abs(guess - truth) AS e FROM g WHERE id <= 500),
-r AS (SELECT id, count(e) OVER w AS n, avg(e) OVER w AS mean, stddev_pop(e) OVER w AS std FROM e WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING))
+@query("W1 W2 W3", f"""WITH {GUESSES}, e AS (SELECT id, abs(guess - truth) AS e FROM g),
+r AS (SELECT id, count(e) OVER w AS n, avg(e) OVER w AS mean, sqrt(greatest(avg(e * e) OVER w - (avg(e) OVER w) * (avg(e) OVER w), 0)) AS std FROM e WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING))
 SELECT id, round(mean, 5) AS mean, round(std, 4) AS std, round(mean - 1.96 * std / sqrt(n), 4) AS lower, round(mean + 1.96 * std / sqrt(n), 4) AS upper FROM r""")
 def running_ci(spark, t):
     """Running error with its interval."""
-    e = guesses(t).filter("id <= 500").select("id", F.abs(F.col("guess") - F.col("truth")).alias("e"))
+    e = guesses(t).select("id", F.abs(F.col("guess") - F.col("truth")).alias("e"))
     r = M.running_interval(e, "e", [F.col("id")])
     return r.select("id", F.round("mean", 5).alias("mean"), F.round("std", 4).alias("std"), F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
@@ -87,19 +87,18 @@ def gate_score(spark, t):
     return s.agg(F.round((F.count_if(out_of_scope & rejected) + F.count_if(~out_of_scope) - F.count_if(~out_of_scope & rejected)) / F.count(F.lit(1)), 6).alias("gate_score"))
 
 
-@query("A21 J9", """WITH k AS (SELECT item_id, word FROM (SELECT item_id, unnest(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}')))[1:3]) AS word FROM (SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 20))),
-d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos, lower(text) AS text FROM documents WHERE doc_id < 100),
+@query("A21 J9", """WITH k AS (SELECT item_id, word FROM (SELECT item_id, unnest(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}')))[1:3]) AS word FROM benchmark)),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos, lower(text) AS text FROM documents),
 f AS (SELECT item_id, word, min(pos) AS pos FROM k LEFT JOIN d ON contains(text, word) GROUP BY ALL)
 SELECT item_id, round(avg(coalesce(1.0 / pos, 0)), 6) AS mrr, round(avg((pos IS NOT NULL)::INT) * 100, 6) AS coverage FROM f GROUP BY item_id""", name="keyword_coverage")
 def keyword_coverage(spark, t):
     """Keywords found in a ranking of documents: the stated keywords are few and go to every document."""
-    from pyspark.sql.window import Window as W
-
+    from ..operators.curation import numbered
     from ..operators.retrieval import small
 
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{7,})"), F.lit(1))))
-    k = t.benchmark.orderBy("item_id").limit(20).select("item_id", F.explode(F.slice(words, 1, 3)).alias("word"))
-    d = t.documents.filter("doc_id < 100").select(F.row_number().over(W.orderBy("doc_id")).alias("pos"), F.lower("text").alias("text"))
+    k = t.benchmark.select("item_id", F.explode(F.slice(words, 1, 3)).alias("word"))
+    d = numbered(t.documents.select("doc_id", F.lower("text").alias("text")), [F.col("doc_id")], "pos").withColumn("pos", F.col("pos") + 1)
     hit = d.join(small(k), F.contains("text", "word")).groupBy("item_id", "word").agg(F.min("pos").alias("pos"))
     f = k.join(hit, ["item_id", "word"], "left")
     return f.groupBy("item_id").agg(F.round(F.avg(F.coalesce(1 / F.col("pos"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("pos").isNotNull().cast("int")) * 100, 6).alias("coverage"))
@@ -159,10 +158,45 @@ def drift_audit(spark, t):
     return P.audit(a, b, ["p_size"], ["p_type"]).select("metric", "column", F.round("value", 6).alias("value"))
 
 
-@query("A32", "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cost FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200)")
+@query("A32", "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cost FROM orders")
 def running_cost(spark, t):
     """Running totals of a call log."""
-    from pyspark.sql.window import Window as W
+    from ..operators.curation import running_sums
+
+    x = running_sums(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_orderkey")], {"cost": F.col("o_totalprice")})
+    return x.select("o_orderkey", F.round("cost", 2).alias("cost"))
+
+
+ANSWERS = """
+answers AS (SELECT item_id AS qid, item_id % 4 <> 0 AS in_scope, item_id % 3 = 0 AS rejected, item_id % 9 AS excerpts, item_id % 5 AS labels_found, 1.0::DOUBLE / (1 + item_id % 6) AS rr, item_id % 7 AS category FROM benchmark)
+"""
+
 
-    x = t.orders.orderBy("o_orderkey").limit(200)
-    return x.select("o_orderkey", F.round(F.sum("o_totalprice").over(W.orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, 0)), 2).alias("cost"))
+def answers(t):
+    i = F.col("item_id")
+    return t.benchmark.select(i.alias("qid"), (i % 4 != 0).alias("in_scope"), (i % 3 == 0).alias("rejected"), (i % 9).alias("excerpts"), (i % 5).alias("labels_found"), (1.0 / (1 + i % 6)).alias("rr"), (i % 7).alias("category"))
+
+
+@query("A22", f"WITH {ANSWERS} SELECT count(*) FILTER (WHERE NOT in_scope) AS out_of_scope, count(*) FILTER (WHERE NOT in_scope AND rejected) AS rejected_oos, count(*) FILTER (WHERE in_scope AND rejected) AS false_rejections, round(avg(excerpts) FILTER (WHERE NOT rejected), 6) AS avg_excerpts, count(*) FILTER (WHERE in_scope AND labels_found = 0) AS bad_labels FROM answers")
+def gate_report(spark, t):
+    """Rejections right and false, average excerpts and labels that name nothing."""
+    return M.gate_report(answers(t)).withColumn("avg_excerpts", F.round("avg_excerpts", 6))
+
+
+@query("A22 T8", f"WITH {ANSWERS} SELECT category AS stage, round(avg(rr), 6) AS rr, round(avg(excerpts), 6) AS excerpts, count(*) AS n FROM answers GROUP BY category")
+def stage_averages(spark, t):
+    """Averages of scores by stage."""
+    a = M.stage_averages(answers(t), "category", ["rr", "excerpts"])
+    return a.select(F.col("category").alias("stage"), F.round("rr", 6).alias("rr"), F.round("excerpts", 6).alias("excerpts"), "n")
+
+
+@query("SK9", """WITH a AS (SELECT * FROM part WHERE p_partkey % 2 = 0), b AS (SELECT * FROM part WHERE p_partkey % 2 = 1),
+p AS (SELECT p_type AS v, count(*) / sum(count(*)) OVER () AS p FROM a GROUP BY 1), q AS (SELECT p_type AS v, count(*) / sum(count(*)) OVER () AS q FROM b GROUP BY 1),
+m AS (SELECT 'mean_delta' AS metric, 'p_size' AS c, abs((SELECT avg(p_size) FROM a) - (SELECT avg(p_size) FROM b)) AS value
+UNION ALL SELECT 'std_delta', 'p_size', abs((SELECT stddev_pop(p_size) FROM a) - (SELECT stddev_pop(p_size) FROM b))
+UNION ALL SELECT 'tvd', 'p_type', sum(abs(coalesce(p, 0) - coalesce(q, 0))) * 0.5 FROM p FULL JOIN q ON p.v = q.v)
+SELECT '# Audit' || chr(10) || chr(10) || '| column | metric | value |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c || ' | ' || metric || ' | ' || printf('%.4f', value) || ' |', chr(10) ORDER BY c, metric) AS report FROM m""")
+def audit_report(spark, t):
+    """The audit as a markdown report; it has a row per column and metric, however large the tables are."""
+    a, b = t.part.filter("p_partkey % 2 = 0"), t.part.filter("p_partkey % 2 = 1")
+    return P.markdown_report(P.audit(a, b, ["p_size"], ["p_type"]), "Audit")

@@ -40,9 +40,7 @@ def tokenized_questions(spark, t):
 @query("A12 A13", f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(any_value(idf), 6) AS idf FROM tf JOIN idf USING (term) GROUP BY term")
 def term_statistics(spark, t):
     """Frequencies and inverse document frequencies of all terms."""
-    p = R.postings(t.documents, "doc_id", "text")
-    s = F.broadcast(R.corpus_stats(t.documents, "doc_id", "text"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(s).select("term", "df", "cf", F.round(F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return R.term_statistics(t.documents, "doc_id", "text").select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 @query("A14 J6 T1 R3", f"WITH {TOKENS} SELECT qid, doc, round(score, 5) AS score FROM bm WHERE rank < 25")
@@ -61,48 +59,61 @@ def bm25_mrr(spark, t):
 
 
 VECS = """
-ask AS (SELECT vec_id AS qid, embedding AS q, label AS ql FROM embeddings WHERE vec_id % 25 = 0),
+ask AS (SELECT vec_id AS qid, embedding AS q, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
 sims AS (SELECT qid, vec_id AS doc, ql, label, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 9) AS similarity FROM ask, embeddings),
 knn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc) - 1 AS rank FROM sims)
 """
 
 
 def _ask(t):
-    return t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
-@query("MA1 J7 T3 R2", f"WITH {VECS} SELECT qid, doc, round(similarity, 6) AS similarity FROM knn WHERE rank < 5")
+@query("MA1 J7 T3", f"WITH {VECS} SELECT qid, doc, round(similarity, 6) AS similarity FROM knn WHERE rank < 5")
 def vector_topk(spark, t):
-    """Exact nearest neighbours of every 25th vector."""
+    """Exact nearest neighbours of every 20th vector."""
     return R.vector_search(_ask(t), t.embeddings, "qid", "vec_id", k=5).select("qid", "doc", F.round("similarity", 6).alias("similarity"))
 
 
+@query("R2", f"""WITH {VECS} SELECT qid, doc, rank FROM knn WHERE rank < 25 AND doc % 7 <> 0""")
+def snapshot_hits(spark, t):
+    """Hits of an index that knows more vectors than the snapshot: the others go and are not filled up."""
+    known = t.embeddings.filter("vec_id % 7 <> 0").select(F.col("vec_id").alias("doc"))
+    return R.vector_search(_ask(t), t.embeddings, "qid", "vec_id", known=known).select("qid", "doc", "rank")
+
+
 @query("A17 A18 A20", f"""WITH {VECS}, s AS (SELECT qid, sum(1 / log2(rank + 2)) FILTER (WHERE label = ql AND rank < 5) AS dcg, count(*) FILTER (WHERE label = ql AND rank < 5) AS hits FROM knn GROUP BY qid)
 SELECT qid, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, 6), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM s""")
 def ndcg_at_5(spark, t):
     """Gain of vectors with the asking vector's label."""
     hits = R.vector_search(_ask(t), t.embeddings, "qid", "vec_id", k=5)
     lab = t.embeddings.select(F.col("vec_id").alias("doc"), "label")
-    ql = R.small(t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")))
+    ql = R.small(t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")))
     f = hits.join(lab, "doc").join(ql, "qid").select("qid", (F.col("rank") + 1).alias("pos"), (F.col("label") == F.col("ql")).alias("rel"), F.lit(5).alias("total"))
     return M.ranking_scores(f, 5, "total").select("qid", F.round("ndcg_index", 6).alias("ndcg"))
 
 
+#: The second ranking: the same texts as hashed vectors, by cosine.
 PLAIN = """
-plain AS (SELECT item_id AS qid, doc_id AS doc, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 31 + item_id * 17) % 1009, doc_id) - 1 AS rank FROM benchmark, documents WHERE doc_id < 60 QUALIFY rank < 25)
+qw AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:8000]) AS w FROM benchmark),
+dw AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:8000]) AS w FROM documents),
+qe AS (SELECT qid, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS i, count(*)::DOUBLE AS n FROM qw GROUP BY ALL),
+de AS (SELECT doc, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS i, count(*)::DOUBLE AS n FROM dw GROUP BY ALL),
+qn AS (SELECT qid, sqrt(sum(n * n)) AS l FROM qe GROUP BY qid), dn AS (SELECT doc, sqrt(sum(n * n)) AS l FROM de GROUP BY doc),
+dots AS (SELECT qid, doc, sum(qe.n * de.n) AS dot FROM qe JOIN de USING (i) GROUP BY ALL),
+vs AS (SELECT qid, doc_id AS doc, CASE WHEN dn.l IS NULL THEN NULL ELSE round(coalesce(dot, 0) / (qn.l * dn.l), 9) END AS similarity FROM documents CROSS JOIN qn LEFT JOIN dn ON dn.doc = doc_id LEFT JOIN dots USING (qid, doc)),
+plain AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC NULLS LAST, doc) - 1 AS rank FROM vs QUALIFY rank < 25)
 """
 
 
 def _plain(t):
-    d = t.documents.filter("doc_id < 60").select(F.col("doc_id").alias("doc"))
-    x = d.crossJoin(R.small(t.benchmark.select(F.col("item_id").alias("qid"))))
-    w = W.partitionBy("qid").orderBy((F.col("doc") * 31 + F.col("qid") * 17) % 1009, "doc")
-    return x.withColumn("rank", F.row_number().over(w) - 1).filter("rank < 25")
+    ask = R.embed(t.benchmark.select(F.col("item_id").alias("qid"), "text"), "qid", "text")
+    return R.vector_search(ask, R.embed(t.documents.select("doc_id", "text"), "doc_id", "text"), "qid", "doc_id").select("qid", "doc", "rank")
 
 
 FUSED = f"""{TOKENS}, {PLAIN},
 two AS (SELECT qid, doc, rank, 0 AS l FROM bm WHERE rank < 25 UNION ALL SELECT qid, doc, rank, 1 FROM plain),
-rrf AS (SELECT qid, doc, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(l * 1000000 + rank) AS seen FROM two GROUP BY ALL),
+rrf AS (SELECT qid, doc, round(sum(1.0 / (60 + rank)), 12) AS rrf, min((l, rank)) AS seen FROM two GROUP BY ALL),
 fused AS (SELECT qid, doc, rrf, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, seen) - 1 AS fused_rank FROM rrf QUALIFY fused_rank < 30)"""
 
 
@@ -124,19 +135,23 @@ def section_filter(spark, t):
     return x.filter(F.lower("q").rlike(r"\b(release|version|update|the)\b") | ~F.col("source").startswith("src1")).select("qid", "doc", "fused_rank")
 
 
-_RERANK = "((doc * 7919 + qid * 104729) % 1000) / 62.5 - 10"
-HITS = f"{FUSED}, scored2 AS (SELECT qid, doc, fused_rank, {_RERANK} AS rerank FROM fused), gated AS (SELECT * FROM (SELECT *, max(rerank) OVER (PARTITION BY qid) AS best FROM scored2) WHERE best >= -4)"
+HITS = f"""{FUSED},
+scored2 AS (SELECT qid, doc, fused_rank, round(len(list_intersect(qs, ds)) / len(qs) * 20 - 10, 9) AS rerank FROM (SELECT qid, doc, fused_rank,
+  list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS qs, list_distinct(regexp_extract_all(lower(left(d.text, 2500)), '[a-z0-9]+')) AS ds
+  FROM fused JOIN benchmark b ON b.item_id = qid JOIN documents d ON d.doc_id = doc)),
+gated AS (SELECT * FROM (SELECT *, max(rerank) OVER (PARTITION BY qid) AS best FROM scored2) WHERE best >= -4)"""
 
 
 def _hits(t):
-    return R.gate(_fused(t).withColumn("rerank", F.expr("((doc * 7919 + qid * 104729) % 1000) / 62.5D - 10")), "rerank", -4.0)
+    questions = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return R.gate(R.rerank(_fused(t), questions, t.documents.select(F.col("doc_id").alias("doc"), "text")), "rerank", -4.0)
 
 
-@query("R6 R7 R8", f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, fused_rank) - 1 AS rr FROM gated),
+@query("R6 R7 R8 U3", f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, fused_rank) - 1 AS rr FROM gated),
 b AS (SELECT qid, doc, rr, round(1.0 / (10 + rr) + 1.0 / (10 + fused_rank), 12) AS blended FROM r WHERE rerank >= greatest(-8, best - 3))
 SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY blended DESC, rr) AS position FROM b""")
 def blend_cutoff(spark, t):
-    """Gate, blend and adaptive cut over a stand-in rerank score."""
+    """Rerank, gate, blend and adaptive cut."""
     return R.blend(_hits(t)).select("qid", "doc", "position")
 
 
@@ -155,13 +170,31 @@ def similarity_gate(spark, t):
     return R.gate(h, "similarity", 0.3).select("qid", "doc", F.round("similarity", 6).alias("similarity"))
 
 
-@query("DD7 DD8 R11", f"""WITH {TOKENS}, {PLAIN}, a AS (SELECT qid, doc, rank, 1 AS list FROM bm WHERE rank < 10), b AS (SELECT qid, doc, rank, 2 AS list FROM plain WHERE rank < 10)
+@query("DD7 DD8", f"""WITH {TOKENS}, {PLAIN}, a AS (SELECT qid, doc, rank, 1 AS list FROM bm WHERE rank < 10), b AS (SELECT qid, doc, rank, 2 AS list FROM plain WHERE rank < 10)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE (qid, doc) NOT IN (SELECT (qid, doc) FROM a)""")
 def merged_lists(spark, t):
     """Two lists of hits merged; the first wins."""
     return R.merge_rankings(_bm25(t, 10).select("qid", "doc", "rank"), _plain(t).filter("rank < 10"), "doc")
 
 
+REWRITTEN = TOKENS.replace("FROM benchmark)", "FROM (SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(regexp_extract_all(lower(text), '[a-z]{6,}'), ' ') FROM benchmark))", 1)
+
+
+@query("R11", f"""WITH {REWRITTEN}, a AS (SELECT qid // 2 AS qid, doc, rank FROM bm WHERE qid % 2 = 0 AND rank < 10), b AS (SELECT qid // 2 AS qid, doc, rank FROM bm WHERE qid % 2 = 1 AND rank < 10),
+m AS (SELECT qid, doc, rank, 1 AS list FROM a UNION ALL SELECT qid, doc, rank, 2 FROM b WHERE (qid, doc) NOT IN (SELECT (qid, doc) FROM a)),
+s AS (SELECT qid, doc, rank, list, round(len(list_intersect(qs, ds)) / len(qs) * 20 - 10, 9) AS rerank FROM (SELECT m.*, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS qs, list_distinct(regexp_extract_all(lower(left(d.text, 2500)), '[a-z0-9]+')) AS ds FROM m JOIN benchmark q ON q.item_id = qid JOIN documents d ON d.doc_id = doc))
+SELECT qid, doc, list, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, list, rank) AS position FROM s""")
+def rewritten_search(spark, t):
+    """A question and its rewriting (its longer words) both searched, the lists merged and reranked."""
+    long = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1)), " ")
+    asked = t.benchmark.select((F.col("item_id") * 2).alias("item_id"), "text").union(t.benchmark.select(F.col("item_id") * 2 + 1, long))
+    hits = R.bm25(asked, t.documents, "item_id", "text", "doc_id", "text", 10).select(F.expr("qid div 2").alias("qid"), (F.col("qid") % 2).alias("l"), "doc", "rank")
+    merged = R.merge_rankings(hits.filter("l = 0").drop("l"), hits.filter("l = 1").drop("l"), "doc")
+    questions = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    s = R.rerank(merged, questions, t.documents.select(F.col("doc_id").alias("doc"), "text"))
+    return s.select("qid", "doc", "list", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rerank"), "list", "rank")).alias("position"))
+
+
 @query("T14 W4", f"WITH {FUSED}, x AS (SELECT * FROM fused WHERE fused_rank < 8) SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY doc) AS n FROM x QUALIFY n <= 6")
 def context_in_order(spark, t):
     """The eight best hits, six of them in document order."""
@@ -206,13 +239,11 @@ def word_lookup(spark, t):
     return w.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"].cast("string")), ",").alias("ids"))
 
 
-@query("R1")
+@query("R1", f"""WITH {PLAIN} SELECT doc AS doc_id, round(l, 6) AS norm FROM dn""")
 def hashed_embeddings(spark, t):
-    """Texts as normalised hashed vectors, the stand-in for an embedder."""
-    terms = t.documents.select("doc_id", F.explode(T.tokenize("text")).alias("term")).groupBy("doc_id", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    v = terms.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i).cast("double"), F.lit(0.0)))
-    return v.select("doc_id", arr.alias("v")).select("doc_id", F.round(V.norm("v"), 6).alias("norm"))
+    """Texts cut to 8,000 tokens as hashed vectors, the stand-in for an embedder."""
+    v = R.embed(t.documents.select("doc_id", "text"), "doc_id", "text").select("doc_id", F.round(V.norm("embedding"), 6).alias("norm"))
+    return v.filter("norm > 0")
 
 
 @query("SC20", "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 100")

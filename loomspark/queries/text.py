@@ -196,18 +196,22 @@ def best_deal(spark, t):
     return best_alert(t.part.select("p_partkey", (F.col("p_size") * 2.0).alias("discount")), "discount", 50.0, 5, "p_partkey")
 
 
-@query("MA5 GR4", """WITH w AS (SELECT doc_id, unnest(string_split(left(text, 60), ' ')) AS token, generate_subscripts(string_split(left(text, 60), ' '), 1) AS pos FROM documents WHERE doc_id < 20)
+@query("MA5 GR4", """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents)
 SELECT doc_id, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY pos), 'START') AS src, token AS dst, round(exp(-pos::DOUBLE / 10), 6) AS p FROM w
-UNION ALL SELECT doc_id, token, 'END', 1.0 FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1""")
+UNION ALL SELECT doc_id, token, 'END', 1.0 FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1
+UNION ALL SELECT doc_id, token, alt, round(exp(-pos::DOUBLE / 10 - k), 6) FROM (SELECT doc_id, token, pos, unnest(list_filter([reverse(token), token || 's', '_' || token], lambda a: a <> token)[1:2]) AS alt, generate_subscripts(list_filter([reverse(token), token || 's', '_' || token], lambda a: a <> token)[1:2], 1) AS k FROM w)""")
 def token_chain(spark, t):
-    """The chain of a text's tokens as edges, with probabilities from log probabilities."""
+    """The chain of a text's tokens as edges, with probabilities from log probabilities, and the two best other tokens as leaves."""
     from pyspark.sql.window import Window as W
 
-    w = t.documents.filter("doc_id < 20").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("pos", "token"))
+    w = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    other = lambda x: F.slice(F.filter(F.array(F.reverse(x), F.concat(x, F.lit("s")), F.concat(F.lit("_"), x)), lambda a: a != x), 1, 2)
+    leaves = w.select("doc_id", "token", "pos", F.posexplode(other(F.col("token"))).alias("k", "alt"))
+    leaves = leaves.select("doc_id", F.col("token").alias("src"), F.col("alt").alias("dst"), F.round(F.exp(-(F.col("pos") + 1).cast("double") / 10 - (F.col("k") + 1)), 6).alias("p"))
     o = W.partitionBy("doc_id").orderBy("pos")
     chain = w.select("doc_id", F.coalesce(F.lag("token").over(o), F.lit("START")).alias("src"), F.col("token").alias("dst"), F.round(F.exp(-(F.col("pos") + 1).cast("double") / 10), 6).alias("p"))
     last = w.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("pos")))).filter("n = 1").select("doc_id", F.col("token").alias("src"), F.lit("END").alias("dst"), F.lit(1.0).alias("p"))
-    return chain.union(last)
+    return chain.union(last).union(leaves)
 
 
 @query("MA6", "SELECT round(4 * (1 + sum(-1.0::DOUBLE / (4 * i - 1) + 1.0::DOUBLE / (4 * i + 1))), 6) AS pi FROM range(1, 1000001) AS r(i)")

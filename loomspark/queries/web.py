@@ -122,30 +122,50 @@ def best_title(spark, t):
     return s.groupBy("page_id").agg(F.max_by("h", F.struct("ratio", -F.length("h"))).alias("heading"))
 
 
-@query("DD3 HA2", "WITH x AS (SELECT page_id, url, sha1(left(html, 16)) AS hash FROM pages) SELECT page_id, hash FROM x QUALIFY row_number() OVER (PARTITION BY hash ORDER BY page_id) = 1")
+@query("DD3", "WITH x AS (SELECT page_id, url, sha1(html) AS hash FROM pages) SELECT page_id, hash FROM x QUALIFY row_number() OVER (PARTITION BY hash ORDER BY page_id) = 1")
+def pages_by_html(spark, t):
+    """Pages with different HTML, the first of each."""
+    return O.first_by_hash(t.pages, F.col("html"), [F.col("page_id")]).select("page_id", "hash")
+
+
+@query("DD3 HA2")
 def pages_by_content(spark, t):
-    """Pages with different beginnings, the first of each."""
-    return O.first_by_hash(t.pages, F.substring("html", 1, 16), [F.col("page_id")]).select("page_id", "hash")
+    """Pages with different sections, the first of each: the fingerprint is the sha1 of all sections as JSON."""
+    return O.first_by_hash(t.pages, F.to_json(H.html_sections("html")), [F.col("page_id")]).select("page_id", "hash")
 
 
-EDGES = """e AS (SELECT DISTINCT l_suppkey % 200 AS src, l_partkey % 200 AS dst FROM lineitem WHERE l_orderkey % 50 = 0)"""
+EDGES = """e AS (SELECT DISTINCT l_suppkey % 200 AS src, l_partkey % 200 AS dst FROM lineitem)"""
 
 
 def _edges(t):
-    return t.lineitem.filter("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 200).alias("src"), (F.col("l_partkey") % 200).alias("dst")).distinct()
+    return t.lineitem.select((F.col("l_suppkey") % 200).alias("src"), (F.col("l_partkey") % 200).alias("dst")).distinct()
 
 
 _BFS = f"""WITH RECURSIVE {EDGES}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < {{d}}),
 m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node, depth FROM m"""
 
 
-@query("GR2 DD11", _BFS.format(d=2))
+@query("DD11", _BFS.format(d=2))
 def bfs_depth2(spark, t):
     """Nodes within two steps."""
     return O.breadth_first(_edges(t), spark.createDataFrame([(1,)], "node long"), 2)
 
 
-@query("GR1 GR3", _BFS.format(d=3) + " ORDER BY depth, node LIMIT 15")
+@query("GR2", _BFS.format(d=2).replace("WHERE r.depth < 2)", "WHERE r.depth < 2 AND (r.depth = 0 OR r.node % 2 = 0))") + " ORDER BY depth, node LIMIT 200")
+def bfs_rules(spark, t):
+    """Two steps with a rule for each level (below the start only even nodes are expanded) and a budget of 200."""
+    rule = lambda d: F.lit(True) if d == 0 else F.col("node") % 2 == 0
+    return O.breadth_first(_edges(t), spark.createDataFrame([(1,)], "node long"), 2, budget=200, expand=rule)
+
+
+@query("GR1", _BFS.format(d=2).replace("UNION SELECT e.dst, r.depth + 1", "UNION SELECT CASE WHEN e.dst % 17 = 5 THEN e.dst - 4 ELSE e.dst END, r.depth + 1") + " ORDER BY depth, node LIMIT 45")
+def bfs_redirects(spark, t):
+    """A crawl where some nodes redirect: what is seen and kept is where they lead."""
+    nodes = _edges(t).select(F.col("dst").alias("node")).distinct().filter("node % 17 = 5")
+    return O.breadth_first(_edges(t), spark.createDataFrame([(1,)], "node long"), 2, budget=45, redirects=nodes.withColumn("target", F.col("node") - 4))
+
+
+@query("GR3", _BFS.format(d=3) + " ORDER BY depth, node LIMIT 15")
 def bfs_budget(spark, t):
     """The first fifteen nodes of a crawl."""
     return O.breadth_first(_edges(t), spark.createDataFrame([(1,)], "node long"), 3, budget=15)
@@ -173,6 +193,15 @@ def sitemap_entries(spark, t):
     return x.groupBy(F.substring("s.url", 2, 9).cast("long").alias("page_id")).agg(F.max_by("s.lastmod", "page_id").alias("lastmod"))
 
 
+@query("SC16", """SELECT l_suppkey, (n - 1)::INT AS n, 'item ' || l_orderkey || '/' || l_linenumber AS title, 'http://s/' || l_partkey AS link FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 10""")
+def feed_entries(spark, t):
+    """The first ten entries of every feed, read from its XML; a supplier's orders are its feed."""
+    item = F.format_string("<item><title><![CDATA[item %d/%d]]></title><link> http://s/%d </link></item>", "l_orderkey", "l_linenumber", "l_partkey")
+    feeds = t.lineitem.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", item.alias("x")))).alias("x"))
+    feeds = feeds.select("l_suppkey", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("x", lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+    return tables.feed_entries(feeds, "l_suppkey", "xml")
+
+
 @query("SC16", "SELECT page_id, host FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 10")
 def feed_heads(spark, t):
     """The first ten entries of every feed."""

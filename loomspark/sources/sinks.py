@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +44,21 @@ def listing(df: DataFrame, group: str, name: str) -> DataFrame:
     return df.groupBy(group).agg(F.concat(F.lit("## "), F.first(group), F.lit("\n"), F.array_join(items, "\n")).alias("listing"))
 
 
+def save_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small JSON document saved whole or not at all: written beside the old one, then renamed over it."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    to, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    files = to.getFileSystem(conf)
+    out = files.create(part, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(part, to, over)
+
+
 def page_files(pages: DataFrame, file_name: Column) -> DataFrame:
     """(url, file_path, url_sha1, text) of saved pages."""
     return pages.select("url", file_name.alias("file_path"), F.sha1("url").alias("url_sha1"), "text")

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..operators.curation import before_each, running_sums
+from ..scratch import written
 
 ITEM = "title string, category string, price double, full string, weight double, summary string, prompt string, completion string, id bigint"
 
@@ -17,6 +19,17 @@ def read_split(spark: SparkSession, path: str, split: str | None = None, schema:
     return df.filter(F.col("split") == split) if split else df
 
 
+def read_splits(spark: SparkSession, path: str, config: str | None = None, schema: str = ITEM, names: tuple[str, ...] = ("train", "validation", "test")) -> tuple[DataFrame, ...]:
+    """The splits of a named configuration of a dataset as typed rows, in order.
+
+    A dataset is a folder, partitioned by ``config`` (where it has several) and ``split``; both filters prune folders.
+    """
+    parts = ", config string" * (config is not None) + ", split string"
+    df = spark.read.schema(schema + parts).parquet(path)
+    df = df.filter(F.col("config") == config).drop("config") if config is not None else df
+    return tuple(df.filter(F.col("split") == n).drop("split") for n in names)
+
+
 def read_csv_plain(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header and inferred types."""
     return spark.read.csv(path, header=True, inferSchema=True)
@@ -43,7 +56,9 @@ def read_csv_positions(spark: SparkSession, path: str, column: int = 1) -> DataF
     """(pos, value): one column of a headerless CSV by its number, rows numbered from 0 as they stand in the file."""
     df = spark.read.csv(path, header=False)
     rows = df.select(F.monotonically_increasing_id().alias("_m"), F.col(df.columns[column]).try_cast("double").alias("value"))
-    return rows.withColumn("pos", F.row_number().over(W.orderBy("_m")) - 1).select("pos", "value")
+    rows = written(rows.withColumns({"_p": F.shiftright("_m", 33).cast("int"), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)}), "positions")
+    before = before_each(rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_b")), ["_b"])
+    return rows.join(before, "_p").select((F.col("_i") + F.col("_b")).alias("pos"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -90,6 +105,13 @@ def sitemap(xml: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, r"(?s)<loc>(.*?)</loc>", 1)).alias("url"), F.substring(F.trim(F.regexp_extract(b, r"(?s)<lastmod>(.*?)</lastmod>", 1)), 1, 10).alias("lastmod")))
 
 
+def feed_entries(feeds: DataFrame, key: str, xml: str, most: int = 10) -> DataFrame:
+    """(key, n, title, link) of the first ``most`` entries of every feed, in their order, read from its XML."""
+    items = F.slice(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1)), 1, most)
+    inside = lambda x, tag: F.trim(F.regexp_replace(F.regexp_extract(x, rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"^<!\[CDATA\[|\]\]>$", ""))
+    return feeds.select(key, F.posexplode(items).alias("n", "_x")).select(key, "n", inside(F.col("_x"), "title").alias("title"), inside(F.col("_x"), "link").alias("link"))
+
+
 def feed_titles(xml: Column) -> Column:
     """Titles of a feed's items that are not empty."""
     return F.filter(F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<item>.*?<title>(.*?)</title>.*?</item>"), F.lit(1)), lambda t: F.trim(t)), lambda t: t != "")
@@ -97,10 +119,9 @@ def feed_titles(xml: Column) -> Column:
 
 def scan_records(lines: DataFrame, order: str = "line_no", value: str = "value") -> DataFrame:
     """(ssid, auth, enc, bssid, channel, signal) of a network scan's lines: the header fields hold until the next ones."""
-    w = W.orderBy(order)
     field = lambda p: F.nullif(F.trim(F.regexp_extract(F.col(value), p, 1)), F.lit(""))
     x = lines.select(order, field(r"^SSID \d+\s*:(.*)$").alias("s"), field(r"Authentication\s*:(.*)$").alias("a"), field(r"Encryption\s*:(.*)$").alias("e"), field(r"BSSID \d+\s*:(.*)$").alias("b"), field(r"Channel\s*:(.*)$").alias("c"), field(r"Signal\s*:(.*)$").alias("g"), F.col(value).rlike(r"^SSID \d+\s*:").alias("new"))
-    x = x.withColumn("net", F.sum(F.col("new").cast("int")).over(w)).withColumn("cell", F.sum(F.col("b").isNotNull().cast("int")).over(w))
+    x = running_sums(x, [F.col(order)], {"net": F.col("new").cast("int"), "cell": F.col("b").isNotNull().cast("int")})
     net = x.groupBy("net").agg(F.max("s").alias("ssid"), F.max("a").alias("auth"), F.max("e").alias("enc"))
     cell = x.filter("cell > 0").groupBy("net", "cell").agg(F.max("b").alias("bssid"), F.max("c").alias("channel"), F.max("g").alias("signal")).filter("bssid is not null")
     return cell.join(net, "net").select("ssid", "auth", "enc", "bssid", "channel", "signal")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def new_only(batch: DataFrame, memory: DataFrame, key: str) -> DataFrame:
@@ -48,6 +50,40 @@ def poll(spark: SparkSession, source: str, schema: str, memory: str, key: str, c
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def next_refresh(last: Column, now: Column, every: float, least: float = 60.0) -> Column:
+    """Seconds until the next refresh: what is left of the period since the last, never under ``least``; a missed one is caught up after ``least``."""
+    return F.greatest(F.lit(least), F.coalesce(last + every - now, F.lit(least)))
+
+
+def refreshed(current: DataFrame, build: Callable[[], DataFrame], accept: Callable[[DataFrame, DataFrame], bool] = lambda old, new: True) -> tuple[DataFrame, bool]:
+    """(table, whether it is new): what ``build`` gives if it comes through and ``accept`` takes it, else the current table."""
+    try:
+        new = build()
+        return (new, True) if accept(current, new) else (current, False)
+    except Exception as e:
+        warnings.warn(f"refresh failed, the old table stays: {e}", stacklevel=2)
+        return current, False
+
+
+def job_states(polls: DataFrame, deadline: float) -> DataFrame:
+    """Per job of polls (job, at, status): the first final status and its time; 'expired' where none came by ``deadline`` seconds after the first poll, else 'waiting'.
+
+    Polls may repeat and come in any order, so a poller that is stopped goes on from its saved polls.
+    """
+    final = F.col("status").isin("completed", "failed", "cancelled")
+    done = F.min(F.when(final, F.struct("at", "status")))
+    x = polls.groupBy("job").agg(F.min("at").alias("first"), F.max("at").alias("last"), done.alias("d"))
+    in_time = F.col("d").isNotNull() & (F.col("d.at") <= F.col("first") + deadline)
+    late = (F.col("last") > F.col("first") + deadline) | F.col("d").isNotNull()
+    return x.select("job", F.when(in_time, F.col("d.status")).when(late, "expired").otherwise("waiting").alias("state"), F.when(in_time, F.col("d.at")).alias("at"))
+
+
+def new_events(polls: DataFrame, key: str, order: str, poll: str) -> DataFrame:
+    """Events of polls that repeat what came before: each once, at the poll that saw it first; ``place`` numbers a poll's new events, oldest first."""
+    first = polls.groupBy(key).agg(F.min_by(F.struct(*polls.columns), F.struct(F.col(poll), F.col(order))).alias("_e")).select("_e.*")
+    return first.withColumn("place", F.row_number().over(W.partitionBy(poll).orderBy(order, key)))
+
+
 def distinct_stream(stream: DataFrame, keys: list[str], at: str | None = None, within: str | None = None) -> DataFrame:
     """First rows per key; with a time and a delay the state is bounded by a watermark."""
     if at and within:

@@ -1,5 +1,8 @@
 """Fixed vectors of scalar functions."""
 
+import random
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,16 +75,56 @@ def test_html():
     assert H.visible_text(None) == "No title found\n\n" and H.sections_of("") == []
 
 
-def test_chunks():
+def test_chunks(spark):
     text = "intro\n\n```py\n" + "x = 1\n" * 10 + "```\n\n| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | v{i} |" for i in range(6))
-    kinds = [k for k, _, _ in K.section_chunks("P", "u", "s", ["A"], "", text, [{"src": "i", "alt": ""}])]
-    assert kinds.count("table-row") == 6 and "code" in kinds and kinds.count("image") == 1 and "text" in kinds
+    section = {"path": ["A", "B"], "anchor": "z", "text": text, "images": [{"src": "i", "alt": ""}, {"src": "", "alt": "none"}]}
+    empty = {"path": ["A"], "anchor": None, "text": None, "images": None}
+    pages = spark.createDataFrame([(1, "u", "P", "s", 2, [section, empty])], "page_id long, url string, title string, source string, page_no long, sections array<struct<path:array<string>,anchor:string,text:string,images:array<struct<src:string,alt:string>>>>")
+    rows = K.build_chunks(pages).collect()
+    kinds = [r.type for r in rows]
+    assert kinds.count("table-row") == 6 and kinds.count("code") == 1 and kinds.count("image") == 1 and kinds.count("text") == 1
+    by = {r.type: r for r in rows}
+    head = "Source: s\nPage: P\nSection: A > B\nURL: u#z\n\n"
+    assert by["image"].text == head + "Image: screenshot\nShown in section: A > B\n\n" + K.FENCE.sub("", text).strip()
+    assert by["code"].text == head + "Example (py):\nintro\n\n```py\n" + ("x = 1\n" * 10)[:-1] + "\n```" and by["code"].lang == "py"
+    assert by["text"].text.endswith("\n\n(Table with one entry per row: a | b)") and by["text"].position == 2000
+    assert by["table-row"].text.startswith(head + "Table row:\n- a: ")
     assert all(len(p) <= 60 for p in K.packed("\n\n".join(["word " * 5] * 10), 60))
     big = "```\n" + "\n".join(["y" * 30] * 30) + "\n```"
-    assert all(p.startswith("```\n") and p.endswith("\n```") for p in K.packed(big, 100))
+    assert all(p.startswith("```\n") and p.endswith("\n```") for p in K.packed(big, 100)) and len(K.packed(big, 100)) > 1
     assert all(len(x) <= 100 for x in K.recursive_split("alpha beta " * 100, 100, 20))
 
 
+def slow_blocks(text):
+    """Blocks line by line, another way: every empty line outside a fence ends a block."""
+    lines = text.splitlines()
+    marks = [x.lstrip().startswith("```") for x in lines]
+    empty = [not x.strip() and sum(marks[: i + 1]) % 2 == 0 for i, x in enumerate(lines)]
+    return ["\n".join(x for x, _ in g) for is_empty, g in groupby(zip(lines, empty, strict=True), lambda p: p[1]) if not is_empty]
+
+
+def slow_fill(sizes, gap, limit):
+    runs, room = [], -1
+    for n in sizes:
+        if runs and n + gap <= room:
+            runs[-1] += 1
+            room -= n + gap
+        else:
+            runs.append(1)
+            room = limit - n
+    return runs
+
+
+def test_blocks_and_packing():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "\n".join(r.choice(["a", "bb cc", "", " ", "```", "```py", "  ```", "| x"]) for _ in range(r.randrange(0, 25)))
+        assert K.blocks(text) == slow_blocks(text), text
+        parts = ["x" * r.randrange(0, 40) for _ in range(r.randrange(0, 20))]
+        gap, limit = r.randrange(0, 3), r.randrange(1, 90)
+        assert [len(x) for x in K.fill(parts, gap, limit)] == slow_fill([len(p) for p in parts], gap, limit)
+
+
 def test_misc(spark):
     assert one(spark, T.judge_score("c0"), "Score= 9") == 5 and one(spark, T.judge_score("c0"), "none") == 3
     assert one(spark, T.citations("c0"), "[3] [1] [3]") == [1, 3]
