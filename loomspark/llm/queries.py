@@ -35,7 +35,7 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document left after repeated 400-byte strings go."""
+    """Bytes of every document left after repeated 400-byte strings go, and how many shorter repeated strings cover."""
     from . import substrings
 
     return substrings.removed(load(spark, sf_dir, "documents")).drop("spans")
