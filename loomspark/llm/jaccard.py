@@ -106,17 +106,17 @@ def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * 9 <= na + nb
 
 
-DEALT = "bucket int, keys binary, docs binary, exact binary, exact_docs binary, meta_docs binary, meta_n binary"
+DEALT = "bucket int, keys binary, docs binary, exact binary, exact_docs binary, meta_docs binary, meta_n binary, twin_a binary, twin_b binary"
 LISTS = "kind int, docs array<long>, n long"
 
 
 def _deal(n_buckets: int):
     def run(batches):
         seen: dict[int, int] = {}
-        keys, docs, exact, exact_docs, meta_docs, meta_n, held, turn = [], [], [], [], [], [], 0, 0
+        keys, docs, exact, exact_docs, meta_docs, meta_n, twin_a, twin_b, held, turn = [], [], [], [], [], [], [], [], 0, 0
 
         def flush():
-            nonlocal keys, docs, exact, exact_docs, meta_docs, meta_n, held, turn
+            nonlocal keys, docs, exact, exact_docs, meta_docs, meta_n, twin_a, twin_b, held, turn
             k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             d = np.repeat(np.array(docs, np.int64), [len(x) for x in keys]) if keys else np.zeros(0, np.int64)
             e, ed = np.array(exact, np.uint64), np.array(exact_docs, np.int64)
@@ -127,10 +127,10 @@ def _deal(n_buckets: int):
             rows = []
             for b in range(n_buckets):
                 if kc[b] < kc[b + 1] or ec[b] < ec[b + 1]:
-                    rows.append((b, k[kc[b] : kc[b + 1]].tobytes(), d[kc[b] : kc[b + 1]].tobytes(), e[ec[b] : ec[b + 1]].tobytes(), ed[ec[b] : ec[b + 1]].tobytes(), b"", b""))
+                    rows.append((b, k[kc[b] : kc[b + 1]].tobytes(), d[kc[b] : kc[b + 1]].tobytes(), e[ec[b] : ec[b + 1]].tobytes(), ed[ec[b] : ec[b + 1]].tobytes(), b"", b"", b"", b""))
             turn += 1
-            rows.append(((turn * 7919 + (meta_docs[0] if meta_docs else 0)) % n_buckets, b"", b"", b"", b"", np.array(meta_docs, np.int64).tobytes(), np.array(meta_n, np.int64).tobytes()))
-            keys, docs, exact, exact_docs, meta_docs, meta_n, held = [], [], [], [], [], [], 0
+            rows.append(((turn * 7919 + (meta_docs[0] if meta_docs else 0)) % n_buckets, b"", b"", b"", b"", np.array(meta_docs, np.int64).tobytes(), np.array(meta_n, np.int64).tobytes(), np.array(twin_a, np.int64).tobytes(), np.array(twin_b, np.int64).tobytes()))
+            keys, docs, exact, exact_docs, meta_docs, meta_n, twin_a, twin_b, held = [], [], [], [], [], [], [], [], 0
             for a in range(0, len(rows), 1000):
                 cols = list(zip(*rows[a : a + 1000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], [x.split()[0] for x in DEALT.split(", ")])
@@ -142,10 +142,12 @@ def _deal(n_buckets: int):
                 if not len(u):
                     continue
                 whole = set_key(u)
+                if whole in seen:  # equal sets inside a task are linked here, so a bucket gets one row a task of each
+                    twin_a.append(seen[whole])
+                    twin_b.append(doc)
+                    continue
                 exact.append(whole)
                 exact_docs.append(doc)
-                if whole in seen:
-                    continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen[whole] = doc
@@ -177,7 +179,7 @@ def _runs(keys: np.ndarray, docs: np.ndarray) -> dict[bytes, int]:
 
 
 def _product(key, table):
-    """A bucket's lists: kind 0 shares blocks, kind 1 has equal sets, kind 2 carries documents with their sizes through."""
+    """A bucket's lists: kind 0 shares blocks, kind 1 has equal sets, kind 3 pairs of them from one task, kind 2 carries documents with their sizes through."""
 
     def joined(c, t):
         return np.frombuffer(b"".join(table.column(c).to_pylist()), t)
@@ -188,6 +190,11 @@ def _product(key, table):
             kinds.append(kind)
             lists.append(np.frombuffer(x, np.int64))
             ns.append(n)
+    a, b = joined("twin_a", np.int64), joined("twin_b", np.int64)
+    for lo in range(0, len(a), 100_000):
+        kinds.append(3)
+        lists.append(np.stack([a[lo : lo + 100_000], b[lo : lo + 100_000]], 1).ravel())
+        ns.append(0)
     docs, sizes = joined("meta_docs", np.int64), joined("meta_n", np.int64)
     for n in np.unique(sizes).tolist():
         kinds.append(2)
@@ -239,9 +246,14 @@ def count_overlaps(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> D
     return rows.select("a", "b", "ga", "gb").mapInArrow(_count, "a long, b long, link boolean").select("a", "b").distinct()
 
 
+#: Documents of a list in one block; a task holds two blocks of it against each other.
+LIST_BLOCK = 2048
+
+
 def _bounded(key, table):
-    """Of one list, the pairs from different components that sizes and parities do not rule out; in blocks of 512 x 512."""
-    doc, comp, n = (np.asarray(table.column(c)) for c in ("doc", "comp", "n"))
+    """Of two blocks of one list, the pairs from different components that sizes and parities do not rule out; 512 x 512 at a time."""
+    doc, comp, n, side = (np.asarray(table.column(c)) for c in ("doc", "comp", "n", "side"))
+    one = key[1].as_py() == key[2].as_py()
     bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
     words = np.array([len(x) for x in bits])
     a_out, b_out = [], []
@@ -249,6 +261,7 @@ def _bounded(key, table):
         for j in range(i, len(doc), 512):
             x, y = slice(i, i + 512), slice(j, j + 512)
             ok = comp[x, None] < comp[None, y] if i == j else comp[x, None] != comp[None, y]
+            ok = ok & (one | (side[x, None] != side[None, y]))
             ok = ok & (5 * np.minimum(n[x, None], n[None, y]) >= 4 * np.maximum(n[x, None], n[None, y]))
             r, c = np.nonzero(ok)
             r, c = r + i, c + j
@@ -278,6 +291,9 @@ def links(docs: DataFrame) -> DataFrame:
     lists = materialize(dealt.groupBy("bucket").applyInArrow(_product, LISTS), "jaccard-lists")
 
     exact = lists.filter("kind = 1").select(F.element_at("docs", 1).alias("a"), F.explode("docs").alias("b")).filter("a <> b")
+    at = F.sequence(F.lit(0), F.size("docs") - 2, F.lit(2))
+    twins = lists.filter("kind = 3").select(F.explode(F.transform(at, lambda i: F.struct(F.get("docs", i).alias("a"), F.get("docs", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
+    exact = exact.union(twins.filter("a <> b"))
     shared = lists.filter("kind = 0").groupBy("docs").agg(F.sum("n").alias("n"))
     shared = materialize(shared.withColumn("list", F.monotonically_increasing_id()), "jaccard-shared")
     entries = shared.select("list", F.explode("docs").alias("doc"))
@@ -292,9 +308,12 @@ def links(docs: DataFrame) -> DataFrame:
 
     tagged = entries.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("list", "doc", F.coalesce("component", "doc").alias("comp"))
     tagged = materialize(tagged, "jaccard-tagged")
-    several = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("list")
+    several = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("list", "blocks")
     small = sets.select("doc", "n", "bits")
-    rest = tagged.join(several, "list", "left_semi").join(small, "doc").groupBy("list").applyInArrow(_bounded, "a long, b long").distinct()
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = tagged.join(several, "list").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
+    rest = dealt.join(small, "doc").groupBy("list", "p", "q").applyInArrow(_bounded, "a long, b long").distinct()
     second = materialize(count_overlaps(materialize(rest, "jaccard-rest"), sets, pruned=True), "jaccard-second")
     comp = materialize(components(first.union(exact).union(second), "jaccard-b"), "jaccard-comp")
 
