@@ -80,7 +80,8 @@ def tokens_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     word = np.flatnonzero(kind == 0)
     again = np.zeros(len(h), bool)
     if len(word) > 1:
-        again[word[1:]] = h[word[1:]] == h[word[:-1]]
+        text = np.searchsorted(first, word, side="right")  # a word is said again only inside its own text
+        again[word[1:]] = (h[word[1:]] == h[word[:-1]]) & (text[1:] == text[:-1])
     kind[caps] = 2
     kind[again] = 3
     h = np.where(again, AGAIN, np.where(caps, CAPITALS, h))
