@@ -104,10 +104,8 @@ ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op5_source_mixing"] = """
 WITH by_source AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, w / (SELECT sum(w) FROM by_source) * (SELECT sum(n) FROM by_source) / n AS rate FROM by_source),
-terms AS (
-  SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-  FROM rates, range(0, 400) AS t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)
-),
+ks AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rates),
+terms AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM ks),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM terms),
 uniform AS (
   SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents
