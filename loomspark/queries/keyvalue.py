@@ -64,6 +64,18 @@ def alias_lookup(spark, t):
     return x.join(F.broadcast(d), F.col("dn") == F.col("name"), "left").select("c_custkey", "name", F.coalesce("n_regionkey", F.lit(-1)).alias("region"))
 
 
+NAMES = [*ALIASES, *dict.fromkeys(ALIASES.values()), "No Such Air"]
+
+
+@query("J12", f"""WITH a AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in ALIASES.items())}) v(alias, canonical)), c AS (SELECT c_custkey, list_value({", ".join(f"'{n}'" for n in NAMES)})[c_custkey % {len(NAMES)} + 1] AS name FROM customer)
+SELECT c_custkey, name, coalesce(canonical, name) AS airline FROM c LEFT JOIN a ON alias = name""")
+def airline_names(spark, t):
+    """Other names of airlines brought to one."""
+    known = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.lit(v))])
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("c_custkey") % len(NAMES) + 1).cast("int"))
+    return t.customer.select("c_custkey", name.alias("name")).withColumn("airline", F.coalesce(known[F.col("name")], F.col("name")))
+
+
 @query("J14", """SELECT q.event_id, count(f.event_id) AS feedback FROM events q LEFT JOIN events f ON f.event_type = 'click' AND f.user_id = q.user_id AND f.event_id = q.event_id + 1 WHERE q.event_type <> 'click' GROUP BY 1""")
 def feedback_join(spark, t):
     """Questions with the feedback that shares their key."""
