@@ -141,6 +141,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = REVISIT_FROM)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     repeated = base.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "keep")
+    # smaller pages never match, so they get a key of their own in place of the digest that many may share
+    own = F.unhex(F.md5(F.concat_ws(":", F.lit("own"), F.col("page_id").cast("string"), F.col("url"))))
+    base = base.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.col("digest")).otherwise(own))
     rows = base.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("keep") == F.col("page_id")), F.lit(None)).otherwise(F.col("keep")).alias("refers_to"))
 
     def write(batches):
