@@ -1,5 +1,7 @@
 """Invariants and fixed results of table operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,47 @@ def test_entry_points(spark, sf_dir):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_tiles_equal_broadcast(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, [r.choice([0.0, 0.5, 1.0, 2.0]) for _ in range(4)] if i % 9 else [1.0, 2.0]) for i in range(60)] + [(60, [0.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = v.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    want = sorted(map(tuple, R.vector_search(ask, v, "qid", "vec_id", k=5).collect()), key=repr)
+    for name, n in (("BROADCAST_VECTORS", 3), ("TILE_QUERIES", 4), ("TILE_ROWS", 7)):
+        monkeypatch.setattr(R, name, n)
+    assert sorted(map(tuple, R.vector_search(ask, v, "qid", "vec_id", k=5).collect()), key=repr) == want and len(want) > 60
+
+
+def test_running_sums_and_numbers(spark):
+    r = random.Random(4)
+    rows = [(i, r.randrange(-50, 50)) for i in r.sample(range(10_000), 900)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = [(x.k, x.s) for x in C.running_sums(df, [F.col("k")], {"s": F.col("v")}).orderBy("k").collect()]
+    total, want = 0, []
+    for k, v in sorted(rows):
+        total += v
+        want.append((k, total))
+    assert got == want and [x.seq for x in C.numbered(df, [F.col("k")]).orderBy("k").collect()] == list(range(900))
+
+
+def test_small_sinks_and_tools(spark, tmp_path):
+    import json
+
+    from loomspark.functions import text as T
+    from loomspark.operators import learning as L
+    from loomspark.sources import sinks
+
+    path = tmp_path / "state.json"
+    for value in ({"a": 1}, {"a": [2, "é"]}):
+        sinks.save_json(spark, value, f"file://{path}")
+        assert json.loads(path.read_text()) == value
+    assert [x.name for x in tmp_path.iterdir() if x.suffix == ".tmp"] == []
+    tools = L.Tools()
+    tools.register("size", {"text": "string"}, lambda a: F.length(a["text"]))
+    with pytest.raises(ValueError):
+        tools.register("size", {}, lambda a: F.lit(1))
+    assert tools.declared()[0]["function"]["parameters"]["properties"] == {"text": {"type": "string"}}
+    cut = spark.createDataFrame([("a b c d",), (None,), ("",)], "t string").select(T.cut_to_tokens("t", 2, lambda x: list(x.encode()), lambda ids: bytes(ids).decode()).alias("c"), T.cut_to_tokens("t", 2).alias("b")).collect()
+    assert [tuple(x) for x in cut] == [("a ", "a b"), (None, None), ("", "")]
