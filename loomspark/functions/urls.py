@@ -22,6 +22,11 @@ def path(url: Column | str) -> Column:
     return F.coalesce(_part(col(url), "PATH"), F.lit(""))
 
 
+def _raw_path(url: Column | str) -> Column:
+    """Path of a web URL as written, blanks and other characters that a URL may not have included; null of null."""
+    return F.regexp_extract(col(url), r"^https?://[^/?#]*([^?#]*)", 1)
+
+
 def is_web(url: Column | str) -> Column:
     """Scheme http or https, and a host."""
     return F.coalesce(F.lower(_part(col(url), "PROTOCOL")).isin("http", "https") & host(url).isNotNull(), F.lit(False))
@@ -70,14 +75,14 @@ def same_site(a: Column | str, b: Column | str) -> Column:
 
 def file_name(url: Column | str) -> Column:
     """A safe markdown file name from a URL's path."""
-    x = F.regexp_replace(path(url), "^/+|/+$", "")
+    x = F.regexp_replace(_raw_path(url), "^/+|/+$", "")
     x = F.regexp_replace(F.regexp_replace(F.when(x == "", "index").otherwise(x), r"\.html?$", ""), "[^a-zA-Z0-9/_-]", "_")
     return F.concat(F.when(x.endswith("/"), F.concat(x, F.lit("index"))).otherwise(x), F.lit(".md"))
 
 
 def category_name(url: Column | str) -> Column:
     """Last path segment as words, the first letter large and the rest small."""
-    last = F.replace(F.element_at(F.split(F.regexp_replace(path(url), "/+$", ""), "/"), -1), F.lit("-"), F.lit(" "))
+    last = F.replace(F.element_at(F.split(F.regexp_replace(_raw_path(url), "/+$", ""), "/"), -1), F.lit("-"), F.lit(" "))
     return F.concat(F.upper(F.substring(last, 1, 1)), F.lower(F.substr(last, F.lit(2))))
 
 

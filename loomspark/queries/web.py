@@ -37,8 +37,8 @@ def url_predicates(spark, t):
 SELECT page_id, regexp_replace(CASE WHEN q = '' THEN 'index' ELSE regexp_replace(q, '\.html?$', '') END, '[^a-zA-Z0-9/_-]', '_', 'g') || '.md' AS file, upper(left(replace(last, '-', ' '), 1)) || lower(substr(replace(last, '-', ' '), 2)) AS category, sha1(url) AS url_sha1 FROM y""")
 def saved_files(spark, t):
     """File names, category names and hashes of URLs."""
-    p = sinks.page_files(t.pages.withColumn("text", F.col("html")), U.file_name("url"))
-    return t.pages.select("page_id", "url").join(p.select("url", "file_path", "url_sha1"), "url").select("page_id", F.col("file_path").alias("file"), U.category_name("url").alias("category"), "url_sha1")
+    p = sinks.page_files(t.pages.select("page_id", "url", F.col("html").alias("text")), U.file_name("url"))
+    return p.select("page_id", F.col("file_path").alias("file"), U.category_name("url").alias("category"), "url_sha1")
 
 
 @query("ST22 ST13", r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)

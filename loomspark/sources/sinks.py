@@ -60,8 +60,8 @@ def save_json(spark: SparkSession, value: object, path: str) -> None:
 
 
 def page_files(pages: DataFrame, file_name: Column) -> DataFrame:
-    """(url, file_path, url_sha1, text) of saved pages."""
-    return pages.select("url", file_name.alias("file_path"), F.sha1("url").alias("url_sha1"), "text")
+    """Pages (url, text and their own columns) with the file_path and url_sha1 they are saved under, one row each: pages may share a url."""
+    return pages.withColumns({"file_path": file_name, "url_sha1": F.sha1("url")})
 
 
 def labelling_sheet(df: DataFrame, text: str, order: str, most: int = 100) -> DataFrame:
