@@ -10,7 +10,10 @@ empty. A block's content becomes one key, and
 2. each document is held against the document it shares most keys with: their overlap is accumulated over the
    whole rows, and links become components (near copies never meet pair by pair);
 3. lists that still hold several components are multiplied block by block: sizes and the parity of their n-grams in
-   some thousand columns bound the overlap from above, pairs below the size-derived bound go, the rest is counted exactly.
+   some thousand columns bound the overlap from above and pairs below the size-derived bound go. In the first rounds each
+   document counts its overlap only with the document of another component that the bound leaves nearest, so that
+   components of one group grow together at a cost in proportion to its documents; a last round counts all pairs of
+   documents that are in different components still.
 
 No link is lost: a pair is left out only if a bound rules it out or both are in one component already. Documents
 with equal sets meet in one key of their own and need no count. Every step is keyed by n-gram blocks, document or
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, components, materialize, mix64, shingle_sets, text_slices, tidy
+from .common import buckets_for, components, discard, materialize, mix64, shingle_sets, text_slices, tidy
 
 SHINGLE = 5
 BITS = 1024
@@ -248,15 +251,31 @@ def count_overlaps(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> D
 
 #: Documents of a list in one block; a task holds two blocks of it against each other.
 LIST_BLOCK = 2048
+#: Most rounds in which documents are held against the nearest one of another component, before all that are left.
+ROUNDS = 4
 
 
 def _bounded(key, table):
-    """Of two blocks of one list, the pairs from different components that sizes and parities do not rule out; 512 x 512 at a time."""
+    """All pairs of ``_product_of_blocks``."""
+    return _product_of_blocks(key, table, False)
+
+
+def _nearest(key, table):
+    """Of the pairs of ``_bounded`` those that are the nearest of one of their documents."""
+    return _product_of_blocks(key, table, True)
+
+
+def _product_of_blocks(key, table, nearest):
+    """Of two blocks of one list, the pairs from different components that sizes and parities do not rule out; 512 x 512 at a time.
+
+    With ``nearest``, for each document only the pair whose parities differ least for its size.
+    """
     doc, comp, n, side = (np.asarray(table.column(c)) for c in ("doc", "comp", "n", "side"))
     one = key[1].as_py() == key[2].as_py()
     bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
     words = np.array([len(x) for x in bits])
     a_out, b_out = [], []
+    least, partner = np.full(len(doc), np.inf), np.full(len(doc), -1)
     for i in range(0, len(doc), 512):
         for j in range(i, len(doc), 512):
             x, y = slice(i, i + 512), slice(j, j + 512)
@@ -273,15 +292,64 @@ def _bounded(key, table):
                 ru, cu = np.searchsorted(used, rw), np.searchsorted(used, cw)
                 step = max(1, 2_000_000 // w)
                 for k in range(0, len(rw), step):
-                    near = np.bitwise_count(rows[ru[k : k + step]] ^ rows[cu[k : k + step]]).sum(1, dtype=np.int64) * 9 <= n[rw[k : k + step]] + n[cw[k : k + step]]
-                    a_out.append(doc[rw[k : k + step]][near])
-                    b_out.append(doc[cw[k : k + step]][near])
+                    x, y = rw[k : k + step], cw[k : k + step]
+                    differ = np.bitwise_count(rows[ru[k : k + step]] ^ rows[cu[k : k + step]]).sum(1, dtype=np.int64) * 9
+                    near = differ <= n[x] + n[y]
+                    x, y = x[near], y[near]
+                    if not nearest:
+                        a_out.append(doc[x])
+                        b_out.append(doc[y])
+                        continue
+                    far = differ[near] / (n[x] + n[y])
+                    order = np.argsort(far, kind="stable")
+                    for one_, other in ((x[order], y[order]), (y[order], x[order])):
+                        at, first = np.unique(one_, return_index=True)
+                        better = far[order][first] < least[at]
+                        least[at[better]], partner[at[better]] = far[order][first][better], other[first][better]
+    if nearest:
+        at = np.flatnonzero(partner >= 0)
+        a_out, b_out = [doc[at]], [doc[partner[at]]]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def _open(entries: DataFrame, comp: DataFrame, tag: str) -> DataFrame:
+    """(list, doc, comp, blocks) of the lists that hold several components."""
+    tagged = entries.select("list", "doc").join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("list", "doc", F.coalesce("component", "doc").alias("comp"))
+    tagged = materialize(tagged, f"{tag}-tagged")
+    several = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("list", "blocks")
+    out = materialize(tagged.join(several, "list"), f"{tag}-open")
+    discard(tagged)
+    return out
+
+
+def _grown(entries: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Components after all links inside lists that hold several of them."""
+    small = sets.select("doc", "n", "bits")
+    last = False
+    for turn in range(ROUNDS + 1):
+        entries = _open(entries, comp, f"jaccard-{turn}")
+        if entries.isEmpty():
+            break
+        own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+        dealt = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
+        pairs = dealt.join(small, "doc").groupBy("list", "p", "q").applyInArrow(_bounded if last else _nearest, "a long, b long").distinct()
+        pairs = materialize(pairs, f"jaccard-pairs{turn}")
+        more = materialize(count_overlaps(pairs, sets, pruned=True), f"jaccard-more{turn}")
+        discard(pairs)
+        settled = more.isEmpty()
+        if not settled:
+            # a component is a star by now, so only the new links take rounds
+            comp = materialize(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), f"jaccard-cc{turn}"), f"jaccard-comp{turn}")
+        if last:
+            break
+        last = settled or turn == ROUNDS - 1
+    return comp
+
+
 def links(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -304,18 +372,8 @@ def links(docs: DataFrame) -> DataFrame:
     star = shared.select("n", F.element_at("docs", 1).alias("a"), F.explode("docs").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = star.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a"))
     first = materialize(count_overlaps(best, sets), "jaccard-first")
-    comp = components(first.union(exact), "jaccard-a")
-
-    tagged = entries.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("list", "doc", F.coalesce("component", "doc").alias("comp"))
-    tagged = materialize(tagged, "jaccard-tagged")
-    several = tagged.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("list", "blocks")
-    small = sets.select("doc", "n", "bits")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = tagged.join(several, "list").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
-    rest = dealt.join(small, "doc").groupBy("list", "p", "q").applyInArrow(_bounded, "a long, b long").distinct()
-    second = materialize(count_overlaps(materialize(rest, "jaccard-rest"), sets, pruned=True), "jaccard-second")
-    comp = materialize(components(first.union(exact).union(second), "jaccard-b"), "jaccard-comp")
+    comp = materialize(components(first.union(exact), "jaccard-a"), "jaccard-comp")
+    comp = _grown(entries, sets, comp)
 
     sizes = lists.filter("kind = 2").select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"))
     out = sizes.join(comp.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

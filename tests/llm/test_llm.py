@@ -335,6 +335,23 @@ def test_jaccard_near_the_bound(spark):
     assert got == want
 
 
+def test_jaccard_group_of_near_copies_takes_pairs_in_proportion(spark, monkeypatch):
+    """Copies of one text, each with its own words at some places: few link with the first, nearly all with some other, and no pair twice."""
+    r = random.Random(5)
+    rows = []
+    for i in range(400):
+        w = [f"w{k}" for k in range(200)]
+        for k in r.sample(range(12), 3):
+            w[k * 16] = f"e{k}_{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows)
+    counted = []
+    count = jaccard.count_overlaps
+    monkeypatch.setattr(jaccard, "count_overlaps", lambda pairs, sets, pruned=False: counted.append(pairs.count()) or count(pairs, sets, pruned))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and sum(counted) <= 5 * len(rows), counted
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
