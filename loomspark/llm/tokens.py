@@ -32,7 +32,7 @@ from .files import read_bytes, write_bytes
 BLOCK = 512  # bits of a bitmap per entry of its rank directory
 PART_MB = 6  # of input per file, at least; MAX_PARTS bounds the number of files
 MAX_PARTS = 50_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 NULL_ID = -(1 << 63)
 
 
@@ -154,7 +154,7 @@ class Encoder:
         plain = set(words)
         for i in range(0, len(words), 12_800):
             groups = [words[k : k + 128] for k in range(i, min(i + 12_800, len(words)), 128)]
-            for g, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, self.kind)
                 stop = np.flatnonzero(self.ends[ids]) + 1
                 if len(stop) != len(g):
@@ -167,7 +167,7 @@ class Encoder:
         rest = [w for w in new if w not in plain]
         for i in range(0, len(rest), 10_000):
             some = rest[i : i + 10_000]
-            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.young[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -179,19 +179,30 @@ class Encoder:
         if not self.pieces:
             return [np.array(e.ids, self.kind).tobytes() + end for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         cut = [self._cut(t) for t in texts]
-        need = set().union(*cut) - self.young.keys()
-        if len(self.young) + len(need) > CACHE_WORDS // 2:
-            self.old, self.young = self.young, {}
-            need = set().union(*cut)
-        new = []
-        for w in need:
-            if (v := self.old.get(w)) is None:
-                new.append(w)
-            else:
-                self.young[w] = v
-        self._learn(new)
-        get = self.young.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in cut]
+        out, open_, need = [], [], {}
+        get = self.young.get
+        for k, ws in enumerate(cut):  # each piece is looked up once; only those not found are looked at again
+            ids = list(map(get, ws))
+            if None in ids:
+                at = [i for i, v in enumerate(ids) if v is None]
+                open_.append((k, at))
+                need.update(dict.fromkeys([ws[i] for i in at]))
+            out.append(ids)
+        if need:
+            if len(self.young) + len(need) > CACHE_WORDS // 2:
+                self.old, self.young = self.young, {}
+            new = []
+            for w in need:
+                if (v := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.young[w] = v
+            self._learn(new)
+            for k, at in open_:
+                ids, ws = out[k], cut[k]
+                for i in at:
+                    ids[i] = self.young[ws[i]]
+        return [b"".join(ids) + end for ids in out]
 
 
 def encoder(path: str) -> Encoder:
@@ -218,8 +229,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
         enc = encoder(tokenizer)
         wide = enc.wide or end_id > 65535
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                some = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 125):
+                some = b.slice(lo, 125)
                 ids = np.asarray(some.column(0))
                 coded = enc.encode_bytes(some.column(1).to_pylist(), b"" if wide != enc.wide else np.array([end_id], enc.kind).tobytes())
                 if wide != enc.wide:  # only the end id is too large

@@ -212,6 +212,20 @@ def test_encoder_pieces(tokenizer):
         assert e.encode([t])[0].tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_learns_a_piece_once(tokenizer, monkeypatch):
+    """A quarter of a million different words over many batches: none is encoded again while the cache can hold it."""
+    letters = "abcdefgh"
+    words = ["".join(letters[n >> 3 * k & 7] for k in range(6)) for n in range(1 << 18)]
+    texts = [" ".join(words[i : i + 512]) for i in range(0, len(words), 512)]
+    enc, learned = tokens.Encoder(tokenizer), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: learned.extend(new) or learn(new))
+    once = [enc.encode_bytes(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+    again = [enc.encode_bytes(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+    assert once == again and sorted(learned) == sorted(words)
+    assert [x.tolist() for x in enc.encode(texts[:9])] == [e.ids for e in enc.tok.encode_batch(texts[:9], add_special_tokens=False)]
+
+
 # ---------------------------------------------------------------- 4
 
 
