@@ -13,7 +13,8 @@ empty. A block's content becomes one key, and
    some thousand columns bound the overlap from above and pairs below the size-derived bound go. In the first rounds each
    document counts its overlap only with the document of another component that the bound leaves nearest, so that
    components of one group grow together at a cost in proportion to its documents; a last round counts all pairs of
-   documents that are in different components still.
+   documents that are in different components still. After the first round a list has only those documents left that the
+   bound lets near another one.
 
 No link is lost: a pair is left out only if a bound rules it out or both are in one component already. Documents
 with equal sets meet in one key of their own and need no count. Every step is keyed by n-gram blocks, document or
@@ -203,7 +204,10 @@ def _product(key, table):
         kinds.append(2)
         lists.append(docs[sizes == n])
         ns.append(n)
-    return pa.table({"kind": pa.array(kinds, pa.int32()), "docs": pa.array(lists, pa.list_(pa.int64())), "n": pa.array(ns, pa.int64())})
+    out = pa.table({"kind": pa.array(kinds, pa.int32()), "docs": pa.array(lists, pa.list_(pa.int64())), "n": pa.array(ns, pa.int64())})
+    del lists, table
+    tidy()
+    return out
 
 
 def _sets(batches):
@@ -253,6 +257,10 @@ def count_overlaps(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> D
 LIST_BLOCK = 2048
 #: Most rounds in which documents are held against the nearest one of another component, before all that are left.
 ROUNDS = 4
+#: Rows of short lists that go to one task, pairs held at a time (or words of their parities), and rows of a tile of a longer list.
+TOGETHER = 4096
+PAIRS = 500_000
+TILE = 512
 
 
 def _bounded(key, table):
@@ -265,54 +273,81 @@ def _nearest(key, table):
     return _product_of_blocks(key, table, True)
 
 
+def _pairs_of(first: np.ndarray, size: np.ndarray):
+    """All pairs of rows of each list (its first row, its number of rows), about half a million at a time; lists of one size at once."""
+    for n in np.unique(size[size > 1]).tolist():
+        at = first[size == n]
+        if n <= TILE:
+            i, j = np.triu_indices(n, 1)
+            step = max(1, PAIRS // len(i))
+            for k in range(0, len(at), step):
+                yield (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            continue
+        for lo in at.tolist():
+            for i in range(0, n, TILE):
+                for j in range(i, n, TILE):
+                    r, c = (x.ravel() for x in np.meshgrid(np.arange(i, min(n, i + TILE)), np.arange(j, min(n, j + TILE)), indexing="ij"))
+                    yield (lo + r[r < c], lo + c[r < c]) if i == j else (lo + r, lo + c)
+
+
 def _product_of_blocks(key, table, nearest):
-    """Of two blocks of one list, the pairs from different components that sizes and parities do not rule out; 512 x 512 at a time.
+    """Of whole lists, or of two blocks of one list, the pairs from different components that sizes and parities do not rule out.
 
-    With ``nearest``, for each document only the pair whose parities differ least for its size.
+    With ``nearest``, for each document of a list only the pair whose parities differ least for its size.
     """
-    doc, comp, n, side = (np.asarray(table.column(c)) for c in ("doc", "comp", "n", "side"))
+    lists, doc, comp, n, side = (np.asarray(table.column(c)) for c in ("list", "doc", "comp", "n", "side"))
+    order = np.lexsort((doc, lists))
+    lists, doc, comp, n, side = (x[order] for x in (lists, doc, comp, n, side))
     one = key[1].as_py() == key[2].as_py()
-    bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-    words = np.array([len(x) for x in bits])
-    a_out, b_out = [], []
+    raw = table.column("bits").to_pylist()
+    words = np.array([len(raw[k]) // 8 for k in order.tolist()], np.int64)
+    place, packed = np.zeros(len(doc), np.int64), {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        place[at] = np.arange(len(at))
+        packed[w] = np.frombuffer(b"".join([raw[k] for k in order[at].tolist()]), np.uint64).reshape(len(at), w)
+    del raw
+    first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+    l_out, a_out, b_out = [], [], []
     least, partner = np.full(len(doc), np.inf), np.full(len(doc), -1)
-    for i in range(0, len(doc), 512):
-        for j in range(i, len(doc), 512):
-            x, y = slice(i, i + 512), slice(j, j + 512)
-            ok = comp[x, None] < comp[None, y] if i == j else comp[x, None] != comp[None, y]
-            ok = ok & (one | (side[x, None] != side[None, y]))
-            ok = ok & (5 * np.minimum(n[x, None], n[None, y]) >= 4 * np.maximum(n[x, None], n[None, y]))
-            r, c = np.nonzero(ok)
-            r, c = r + i, c + j
-            size = np.minimum(words[r], words[c])
-            for w in np.unique(size).tolist():  # the same number of columns on both sides, so many pairs at a time as fit
-                rw, cw = r[size == w], c[size == w]
-                used = np.unique(np.concatenate([rw, cw]))
-                rows = np.stack([folded(bits[k], w) for k in used.tolist()])
-                ru, cu = np.searchsorted(used, rw), np.searchsorted(used, cw)
-                step = max(1, 2_000_000 // w)
-                for k in range(0, len(rw), step):
-                    x, y = rw[k : k + step], cw[k : k + step]
-                    differ = np.bitwise_count(rows[ru[k : k + step]] ^ rows[cu[k : k + step]]).sum(1, dtype=np.int64) * 9
-                    near = differ <= n[x] + n[y]
-                    x, y = x[near], y[near]
-                    if not nearest:
-                        a_out.append(doc[x])
-                        b_out.append(doc[y])
-                        continue
-                    far = differ[near] / (n[x] + n[y])
-                    order = np.argsort(far, kind="stable")
-                    for one_, other in ((x[order], y[order]), (y[order], x[order])):
-                        at, first = np.unique(one_, return_index=True)
-                        better = far[order][first] < least[at]
-                        least[at[better]], partner[at[better]] = far[order][first][better], other[first][better]
+    for r, c in _pairs_of(first, np.diff(np.append(first, len(doc)))):
+        ok = (comp[r] != comp[c]) & (one | (side[r] != side[c])) & (5 * np.minimum(n[r], n[c]) >= 4 * np.maximum(n[r], n[c]))
+        r, c = r[ok], c[ok]
+        size = np.minimum(words[r], words[c])
+        for w in np.unique(size).tolist():  # the same number of columns on both sides, so many pairs at a time as fit
+            rw, cw = r[size == w], c[size == w]
+            used = np.unique(np.concatenate([rw, cw]))
+            rows = np.empty((len(used), w), np.uint64)
+            for own in np.unique(words[used]).tolist():
+                rows[words[used] == own] = folded(packed[own][place[used[words[used] == own]]], w)
+            ru, cu = np.searchsorted(used, rw), np.searchsorted(used, cw)
+            step = max(1, PAIRS // w)
+            for k in range(0, len(rw), step):
+                x, y = rw[k : k + step], cw[k : k + step]
+                differ = np.bitwise_count(rows[ru[k : k + step]] ^ rows[cu[k : k + step]]).sum(1, dtype=np.int64) * 9
+                near = differ <= n[x] + n[y]
+                x, y = x[near], y[near]
+                if not nearest:
+                    l_out.append(lists[x])
+                    a_out.append(doc[x])
+                    b_out.append(doc[y])
+                    continue
+                far = np.tile(differ[near] / (n[x] + n[y]), 2)
+                by_far = np.argsort(far, kind="stable")
+                each, other = np.concatenate([x, y])[by_far], np.concatenate([y, x])[by_far]
+                at, where = np.unique(each, return_index=True)
+                better = far[by_far][where] < least[at]
+                least[at[better]], partner[at[better]] = far[by_far][where][better], other[where][better]
     if nearest:
         at = np.flatnonzero(partner >= 0)
-        a_out, b_out = [doc[at]], [doc[partner[at]]]
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        l_out, a_out, b_out = [lists[at]], [doc[at]], [doc[partner[at]]]
+    of, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (l_out, a_out, b_out))
+    pairs = np.unique(np.stack([of, np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    pairs = pairs[pairs[:, 1] != pairs[:, 2]]
+    out = pa.table({"list": pa.array(pairs[:, 0]), "a": pa.array(pairs[:, 1]), "b": pa.array(pairs[:, 2])})
+    del packed, table
+    tidy()
+    return out
 
 
 def _open(entries: DataFrame, comp: DataFrame, tag: str) -> DataFrame:
@@ -328,24 +363,33 @@ def _open(entries: DataFrame, comp: DataFrame, tag: str) -> DataFrame:
 def _grown(entries: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
     """Components after all links inside lists that hold several of them."""
     small = sets.select("doc", "n", "bits")
-    last = False
+    last, found = False, None
     for turn in range(ROUNDS + 1):
-        entries = _open(entries, comp, f"jaccard-{turn}")
-        if entries.isEmpty():
+        opened = _open(entries, comp, f"jaccard-{turn}")
+        if found is not None:
+            discard(found)
+        total = opened.count()
+        if not total:
+            discard(opened)
             break
         own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-        dealt = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
-        pairs = dealt.join(small, "doc").groupBy("list", "p", "q").applyInArrow(_bounded if last else _nearest, "a long, b long").distinct()
-        pairs = materialize(pairs, f"jaccard-pairs{turn}")
-        more = materialize(count_overlaps(pairs, sets, pruned=True), f"jaccard-more{turn}")
-        discard(pairs)
+        dealt = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # lists of one block go many to a task
+        deal = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("list"), F.lit(total // TOGETHER + 1))).otherwise(F.col("list"))
+        dealt = dealt.select(deal.alias("deal"), "list", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
+        found = dealt.join(small, "doc").groupBy("deal", "p", "q").applyInArrow(_bounded if last else _nearest, "list long, a long, b long")
+        found = materialize(found, f"jaccard-pairs{turn}")
+        discard(opened)
+        more = materialize(count_overlaps(found.select("a", "b").distinct(), sets, pruned=True), f"jaccard-more{turn}")
         settled = more.isEmpty()
         if not settled:
             # a component is a star by now, so only the new links take rounds
             comp = materialize(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), f"jaccard-cc{turn}"), f"jaccard-comp{turn}")
         if last:
+            discard(found)
             break
+        # the bounds do not depend on components: a document that is near no other in a list need not be looked at there again
+        entries = found.select("list", F.col("a").alias("doc")).union(found.select("list", F.col("b").alias("doc"))).distinct()
         last = settled or turn == ROUNDS - 1
     return comp
 

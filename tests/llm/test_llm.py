@@ -366,6 +366,33 @@ def test_jaccard_group_of_near_copies_takes_pairs_in_proportion(spark, monkeypat
     assert got == want and sum(counted) <= 5 * len(rows), counted
 
 
+def test_jaccard_later_rounds_take_only_documents_that_may_link(spark, monkeypatch):
+    """Documents that share blocks and do not link are held against each other once; near copies in their lists still grow together."""
+    r = random.Random(12)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(i, " ".join(shared + [f"o{i}_{k}" for k in range(60)])) for i in range(300)]
+    for i in range(300, 340):
+        w = shared + [f"t{k}" for k in range(60)]
+        for k in r.sample(range(12), 2):
+            w[60 + k * 5] = f"e{k}_{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows)
+    seen, opened = [], jaccard._open
+    monkeypatch.setattr(jaccard, "_open", lambda entries, comp, tag: seen.append(entries.select("doc").distinct().count()) or opened(entries, comp, tag))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and len(seen) > 1 and seen[0] > 300 and max(seen[1:]) <= 40, seen
+
+
+def test_jaccard_tiles(monkeypatch):
+    """Pairs of lists of many sizes, each once, also where a list takes several tiles."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 20)
+    size = np.array([1, 2, 9, 2, 4, 5, 13, 1])
+    first = np.cumsum(size) - size
+    got = [x for r, c in jaccard._pairs_of(first, size) for x in zip(r.tolist(), c.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == {(f + i, f + j) for f, n in zip(first.tolist(), size.tolist(), strict=True) for j in range(n) for i in range(j)}
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
