@@ -22,16 +22,20 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ALNUM, shared_dir, text_slices, word_hashes, words_of
+from .common import WORD_ALNUM, shared_dir, text_slices, tidy, word_hashes, words_of
 from .files import read_bytes, write_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000  # benchmark words in one block file
 SAMPLE = 16  # every so many suffix positions are kept
-SHARD_SYMBOLS = 1_000_000
+#: Words and bytes of a shard, beyond which no further slice of text is added. A worker holds some hundred bytes for each word.
+SHARD_SYMBOLS = 300_000
+SHARD_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 # ---------------------------------------------------------------- the index
@@ -262,8 +266,7 @@ class Shard:
 
     def scan(self, paths: list[str]) -> list[tuple]:
         """Per document: (id, words, hit words, item ids, byte spans inside the document)."""
-        data = np.concatenate(self.data) if self.data else np.zeros(0, np.uint8)
-        low = data.tobytes().lower()
+        low = b"".join(d.tobytes().lower() for d in self.data)
         starts, ends = np.concatenate(self.starts), np.concatenate(self.ends)
         hashes, first = np.concatenate(self.hashes), np.array(self.first)
         edge = np.zeros(self.n + 1, np.int64)  # +1 where an occurrence begins, -1 where it ends
@@ -338,10 +341,10 @@ def shards(batches, id_col: str, text_col: str):
     for b in batches:
         shard = Shard()
         shard.lengths = []
-        for ids, data, offs in text_slices(iter([b]), id_col, text_col):
+        for ids, data, offs in text_slices(iter([b]), id_col, text_col, SLICE_BYTES):
             shard.add(ids, data, offs)
             shard.lengths += np.diff(offs).tolist()
-            if shard.n >= SHARD_SYMBOLS or sum(len(d) for d in shard.data) >= 8_000_000:
+            if shard.n >= SHARD_SYMBOLS or sum(len(d) for d in shard.data) >= SHARD_BYTES:
                 yield b, shard
                 shard = Shard()
                 shard.lengths = []
@@ -383,31 +386,37 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFram
     ``n_chars``, where there is one, is the length of the text that stays. Documents without a hit are unchanged.
     """
     paths = compile_benchmark(benchmark, window)
-    names = docs.columns
 
     def run(batches):
         for b in batches:
-            texts = b.column(names.index("text")).to_pylist()
-            done, keep, changed = 0, [], {}
-            for _, shard in shards(iter([b]), "doc_id", "text"):
-                for k, (_, n, hit, _, spans) in enumerate(shard.scan(paths)):
-                    keep.append(not hit or hit < n)
-                    if hit:
-                        raw, at, parts = texts[done + k].encode(), 0, []
-                        for a, z in spans:
-                            parts.append(raw[at:a])
-                            at = z
-                        parts.append(raw[at:])
-                        changed[done + k] = b" ".join(parts).decode()
+            done = 0
+            for _, shard in shards(iter([b]), "doc_id", "text"):  # rows leave shard by shard: a batch holds ten thousand texts
+                rows = b.slice(done, len(shard.ids))
                 done += len(shard.ids)
-            if changed:
-                texts = [changed.get(i, t) for i, t in enumerate(texts)]
-                cols = [pa.array(texts, b.schema.field(c).type) if c == "text" else b.column(i) for i, c in enumerate(names)]
-                if "n_chars" in names:
-                    i = names.index("n_chars")
-                    was = b.column(i).to_pylist()
-                    cols[i] = pa.array([len(texts[k]) if k in changed else v for k, v in enumerate(was)], b.schema.field("n_chars").type)
-                b = pa.RecordBatch.from_arrays(cols, names)
-            yield b.filter(pa.array(keep))
+                yield _cut_rows(rows, shard.scan(paths))
+            tidy()
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_rows(rows: pa.RecordBatch, scanned: list[tuple]) -> pa.RecordBatch:
+    """Rows without what was scanned as hit; only texts with a hit are taken apart."""
+    names = rows.schema.names
+    keep = pa.array([not hit or hit < n for _, n, hit, _, _ in scanned])
+    changed = {}
+    for k, (_, _, hit, _, spans) in enumerate(scanned):
+        if hit:
+            raw, at, parts = rows.column(names.index("text"))[k].as_py().encode(), 0, []
+            for a, z in spans:
+                parts.append(raw[at:a])
+                at = z
+            parts.append(raw[at:])
+            changed[k] = b" ".join(parts).decode()
+    if changed:
+        hits = pa.array([k in changed for k in range(len(scanned))])
+        put = lambda name, values: pc.replace_with_mask(rows.column(names.index(name)), hits, pa.array(values, rows.schema.field(name).type))
+        new = {"text": put("text", list(changed.values()))}
+        if "n_chars" in names:
+            new["n_chars"] = put("n_chars", [len(x) for x in changed.values()])
+        rows = pa.RecordBatch.from_arrays([new.get(c, rows.column(i)) for i, c in enumerate(names)], names)
+    return rows.filter(keep)

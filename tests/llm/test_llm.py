@@ -101,6 +101,22 @@ def test_fm_index():
 # ---------------------------------------------------------------- 2
 
 
+def test_cut_in_small_shards():
+    import pyarrow as pa
+
+    texts = [None, "ab " * 300_000, "a bé c " * 20, "x y z " * 150_000, ""] * 2
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts, "n_chars": [len(t or "") for t in texts]})
+    found = [s for _, s in decontam.shards(iter([batch]), "doc_id", "text")]
+    assert [i for s in found for i in s.ids] == list(range(10))
+    assert max(s.n for s in found) < 500_000  # a worker's memory goes with the words of its shard
+    # rows of a shard in the middle of a batch: one changed, one gone, the others as they were
+    scanned = [(2, 60, 2, ["i"], [(2, 7)]), (3, 450_000, 0, [], []), (4, 0, 0, [], []), (5, 0, 0, [], []), (6, 300_000, 300_000, ["i"], [(0, 5)])]
+    got = decontam._cut_rows(batch.slice(2, 5), scanned).to_pylist()
+    first = b" ".join([texts[2].encode()[:2], texts[2].encode()[7:]]).decode()
+    assert got[0] == {"doc_id": 2, "text": first, "n_chars": len(first)}
+    assert got[1:] == batch.slice(3, 3).to_pylist()
+
+
 def test_lines(spark, docs, empty):
     rows = [(5, "same line of text number one here\nother line\n\nsame line of text number one here"), (2, "same line of text number one here\nunique"), (9, None), (None, "null id line\nother line"), (7, ""), (7, "other line")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
