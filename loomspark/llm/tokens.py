@@ -32,7 +32,7 @@ from .files import read_bytes, write_bytes
 BLOCK = 512  # bits of a bitmap per entry of its rank directory
 PART_MB = 6  # of input per file, at least; MAX_PARTS bounds the number of files
 MAX_PARTS = 50_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000  # some 250 bytes each, in every worker
 NULL_ID = -(1 << 63)
 
 
@@ -215,6 +215,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _write_part(folder: str, part: int, table: pa.Table) -> pa.Table:
+    """Write one file. Texts are encoded before any file is written, so the caches of a worker that encoded go first."""
+    _encoders.clear()
+    doc, wide, ids = (table.column(c).to_pylist() for c in ("doc_id", "wide", "ids"))
+    del table
+    order = sorted(range(len(doc)), key=lambda i: (doc[i], ids[i]))
+    arrays = [np.frombuffer(ids[i], "<u4" if wide[i] else "<u2") for i in order]
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+    every = np.concatenate(arrays)
+    del ids, arrays
+    path = f"{folder}/part-{part:09d}-{uuid.uuid4().hex}.dac"
+    write_bytes(path, dac_bytes(np.array([doc[i] for i in order], np.int64), offsets, every))
+    del every
+    tidy()
+    return pa.table({"part": [part], "path": [path], "n_docs": [len(doc)], "n_tokens": [int(offsets[-1])]})
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Encode every text and write DAC files; rows (part, path, n_docs, n_tokens) in ascending part = ascending doc_id.
 
@@ -249,15 +266,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
     coded = docs.mapInArrow(encode, "part long, doc_id long, wide boolean, ids binary")
 
     def write(key, table):
-        doc, wide, ids = (table.column(c).to_pylist() for c in ("doc_id", "wide", "ids"))
-        order = sorted(range(len(doc)), key=lambda i: (doc[i], ids[i]))
-        arrays = [np.frombuffer(ids[i], "<u4" if wide[i] else "<u2").astype(np.uint32) for i in order]
-        offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
-        path = f"{folder}/part-{key[0].as_py():09d}-{uuid.uuid4().hex}.dac"
-        write_bytes(path, dac_bytes(np.array([doc[i] for i in order], np.int64), offsets, np.concatenate(arrays)))
-        del table, ids, arrays
-        tidy()
-        return pa.table({"part": [key[0].as_py()], "path": [path], "n_docs": [len(doc)], "n_tokens": [int(offsets[-1])]})
+        return _write_part(folder, key[0].as_py(), table)
 
     return coded.groupBy("part").applyInArrow(write, "part long, path string, n_docs long, n_tokens long")
 

@@ -219,6 +219,18 @@ def test_dac():
         tokens.DacFile(bytes(data))
 
 
+def test_token_caches_go(tokenizer, tmp_path):
+    import pyarrow as pa
+
+    tokens.encoder(tokenizer).encode(["a few words"])
+    rows = pa.table({"doc_id": [5, -2, 5], "wide": [False, True, False], "ids": [b"\x02\x00\x01\x00", b"\x01\x00\x01\x00\x01\x00\x00\x00", b"\x01\x00"]})
+    out = tokens._write_part(str(tmp_path), 3, rows).to_pylist()[0]
+    assert not tokens._encoders  # a worker that writes files no longer holds the words it encoded
+    f = tokens.DacFile(open(out["path"], "rb").read())
+    assert (out["part"], out["n_docs"], out["n_tokens"]) == (3, 3, 5) and f.doc_ids.tolist() == [-2, 5, 5]
+    assert f.offsets.tolist() == [0, 2, 3, 5] and f.all().tolist() == [65537, 1, 1, 2, 1]
+
+
 def test_encoder_pieces(tokenizer):
     e = tokens.Encoder(tokenizer)
     r = random.Random(2)
