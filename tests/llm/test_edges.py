@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from test_llm import WORDS, base_spans, brute_components, luhn
+from test_llm import WORDS, base_spans, brute_components, brute_kept, kept_ids, luhn
 
 from loomspark.llm import lines, media, mixing, pii, quality, substrings
 
@@ -28,6 +28,40 @@ def test_lines_odd_rows(spark):
     assert got[3] == (32_000, 2000, "\n".join(long.split("\n")[30_000:]))
 
 
+def test_lines_by_phrases(spark, monkeypatch):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+
+    def edited(text, share):
+        """One character in so many changed, at even distances: as few phrases as can be stay."""
+        step = max(1, int(1 / share))
+        return "".join("z" if i % step == step // 2 else c for i, c in enumerate(text))
+
+    rows, put = [], lines.materialize
+
+    def kept_by(df, tag):
+        out = put(df, tag)
+        rows.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "materialize", kept_by)
+    texts = [line(r.randrange(20, 120)) for _ in range(120)]
+    texts += [edited(t, s) for t in texts for s in (1 / 70, 1 / 50, 1 / 46, 1 / 30)]
+    assert kept_ids(spark, texts) == brute_kept(texts)
+    # ordinary lines are not cut into all their 5-character strings to find their partners
+    assert dict(rows)["line-bins"] == 0
+    # a passage that unlike lines share, with a partner each, two kinds of words only, short ones, and lists of numbers
+    passage = line(25)
+    own = [line(25) for _ in range(90)]
+    texts = [passage + " " + o for o in own] + [passage + " " + edited(o, 1 / 50) for o in own]
+    texts += [" ".join(r.choice(("yes", "not")) for _ in range(n)) for n in (100, 120, 300)] + [line(4) for _ in range(20)]
+    texts += [" ".join(str(r.randrange(100)) for _ in range(60)) for _ in range(10)]
+    texts += [t[:-1] + "q" for t in texts[-30:]]
+    assert kept_ids(spark, texts) == brute_kept(texts)
+    assert dict(rows)["line-unsettled"] > 0
+
+
 # ---------------------------------------------------------------- 4
 
 
